@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from .common import components, save, text_or_empty
 
 #: Shingles that more prefixes hold count as common, the most common COMMON_MOST of them at least. Any choice gives the same links.
-COMMON, COMMON_MOST = 64, 200_000
+COMMON, COMMON_MOST = 12, 200_000
 BITS = 2048
 BLOCK, FANOUT = 512, 8
+#: Rows of a cell that one node holds, and rows that a task takes at a time.
+NODE, BUNDLE_ROWS = 32, 20_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
 
 
@@ -178,6 +180,27 @@ def tree_pairs(bits: np.ndarray, sizes: np.ndarray, classes: np.ndarray, percent
     return order[i], order[j]
 
 
+def cell_pairs(cell: np.ndarray, bits: np.ndarray, sizes: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """tree_pairs() of every cell: a cell that fits one node is met by that node's bound, all such cells at once."""
+    order = np.lexsort((sizes, cell))
+    c, n, k = cell[order], sizes[order], classes[order]
+    heads = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+    lengths = np.diff(heads, append=len(c))
+    flat = Tree.__new__(Tree)
+    flat.levels = [(bits[order], n, n, n - np.bitwise_count(bits[order]).sum(1))]
+    small = np.repeat(lengths <= NODE, lengths)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for d in range(1, min(NODE, len(c))):
+        i = np.flatnonzero((c[d:] == c[:-d]) & small[d:] & (k[d:] != k[:-d]) & (100 * n[:-d] >= percent * n[d:]))
+        i = i[flat.bound(0, i, i + d, percent)]
+        out.append((i, i + d))
+    for h, m in zip(heads[lengths > NODE], lengths[lengths > NODE], strict=True):
+        i, j = tree_pairs(flat.levels[0][0][h : h + m], n[h : h + m], k[h : h + m], percent)
+        out.append((i + h, j + h))
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    return order[i], order[j]
+
+
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
@@ -222,13 +245,15 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     marks = save(docs.select("doc_id", text_or_empty().alias("text")).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), signed("text").alias("bits")), "jaccard-marks")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("rep")
+        part = part.drop_duplicates(["cell", "rep"])
         bits = np.frombuffer(b"".join(part["bits"]), np.uint64).reshape(len(part), -1)
-        i, j = tree_pairs(bits, part["n_shingles"].to_numpy(np.int64), part["component"].to_numpy(np.int64), percent)
-        ids = part["rep"].to_numpy(np.int64)
-        return pd.DataFrame({"a": np.maximum(ids[i], ids[j]), "b": np.minimum(ids[i], ids[j])})
+        ids, cell, sizes, classes = (part[c].to_numpy(np.int64) for c in ("rep", "cell", "n_shingles", "component"))
+        i, j = cell_pairs(cell, bits, sizes, classes, percent)
+        return pd.DataFrame({"a": np.maximum(ids[i], ids[j]), "b": np.minimum(ids[i], ids[j])}).drop_duplicates()
 
-    cells = rest.join(marks, "rep").groupBy("cell").applyInPandas(meet, "a long, b long")
+    # Many cells make a bundle, whose rows are bounded as a cell's are; a task's work isn't spent on handing over small groups.
+    bundles = max(1, rest.count() // BUNDLE_ROWS)
+    cells = rest.join(marks, "rep").withColumn("bundle", F.pmod(F.xxhash64("cell"), F.lit(bundles))).groupBy("bundle").applyInPandas(meet, "a long, b long")
     more = _linked(cells, docs, k, percent)
     joined = more.join(classes.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(classes.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
     joined = joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
