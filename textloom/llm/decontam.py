@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_or_empty
+from .common import scratch, small_batches, text_or_empty
 from .tokens import open_path
 
 WINDOW = 10
@@ -152,6 +152,7 @@ MATCH = "n_words long, n_hit long, n_items long, items_sha256 string, longest_wo
 
 def matcher(benchmark: DataFrame, window: int = WINDOW):
     """A column function: text -> struct of MATCH."""
+    small_batches(benchmark.sparkSession)
     paths = write_blocks(benchmark)
 
     @F.pandas_udf(f"struct<{', '.join(x.strip().replace(' ', ':') for x in MATCH.split(','))}>")

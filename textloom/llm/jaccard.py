@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save, text_or_empty
+from .common import components, save, small_batches, text_or_empty
 
 #: Shingles that more prefixes hold count as common, the most common COMMON_MOST of them at least. Any choice gives the same links.
 COMMON, COMMON_MOST = 12, 200_000
@@ -33,36 +33,78 @@ NODE, BUNDLE_ROWS = 32, 20_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Hashes()
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct k-word shingles of a text; of its whole sequence if it has fewer words."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    if n < k:
-        return np.array([xxhash.xxh3_64_intdigest(b"short " + b" ".join(words))], np.uint64)
-    if len(_words) > 500_000:
-        _words.clear()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    h = w[: n - k + 1] * _M[0]
-    for j in range(1, k):
-        h = (h ^ (h >> np.uint64(29))) * _M[1] + w[j : n - k + 1 + j] * _M[2 + j % 6]
-    h ^= h >> np.uint64(32)
-    h *= _M[4]
-    return np.unique(h ^ (h >> np.uint64(29)))
+#: Words stand between these bytes: space and 9 to 13. In UTF-8 they are parts of no other character.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SLICE = 1 << 20
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _M[4]
+    h = (h ^ (h >> np.uint64(29))) * _M[5]
+    return h ^ (h >> np.uint64(32))
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of data and where they start: a polynomial of each word's bytes, all words at once."""
+    b = np.frombuffer(data, np.uint8)
+    space = _SPACE[b]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    n = ends - starts
+    letters = b[~space].astype(np.uint64) + np.uint64(1)
+    first = np.cumsum(n) - n
+    place = np.arange(len(letters)) - np.repeat(first, n)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(n.max()) - 1, _M[0])]))
+    return _mix(np.add.reduceat(letters * power[place], first)), starts
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """_word_hashes() of slices that end between words, so that memory is bounded by a slice or the longest word."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + SLICE
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        h, starts = _word_hashes(data[at:end])
+        out.append((h, starts + at))
+        at = end
+    return (np.concatenate([h for h, _ in out]), np.concatenate([s for _, s in out])) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def shingles(texts: list, k: int) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct k-word shingles; of the whole sequence if it has fewer words."""
+    out, i = [], 0
+    while i < len(texts):
+        group, size = [], 0
+        while i < len(texts) and (not group or size < SLICE):
+            group.append(texts[i].encode("utf-8", "surrogatepass").lower() if texts[i] else b"")
+            size += len(group[-1]) + 1
+            i += 1
+        w, starts = word_hashes(b" ".join(group))
+        begin = np.cumsum([0, *(len(g) + 1 for g in group)])
+        bounds = np.searchsorted(starts, begin)
+        n = max(0, len(w) - k + 1)
+        h = w[:n] * _M[0]
+        for j in range(1, k):
+            h = (h ^ (h >> np.uint64(29))) * _M[1] + w[j : j + n] * _M[2 + j % 6]
+        h = _mix(h)
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if z - a >= k:
+                own = np.sort(h[a : z - k + 1])
+                keep = np.empty(len(own), bool)
+                keep[0], keep[1:] = True, own[1:] != own[:-1]
+                out.append(own[keep])
+            elif z > a:
+                short = np.array([z - a], np.uint64)
+                for x in w[a:z]:
+                    short = (short ^ (short >> np.uint64(29))) * _M[1] + x * _M[3]
+                out.append(_mix(short ^ _M[6]))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def needed(n: int, percent: int) -> int:
@@ -89,8 +131,7 @@ def set_table(docs: DataFrame, k: int, percent: int, common: list[int]) -> DataF
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for text in part:
-                h = shingles(text, k)
+            for h in shingles(part.tolist(), k):
                 rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), _prefix(h, percent, held.value).view(np.int64)))
             yield pd.DataFrame(rows, columns=["n_shingles", "digest", "prefix"])
 
@@ -105,7 +146,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     @F.pandas_udf("binary")
     def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([shingles(t, k).tobytes() for t in part], dtype=object)
+            yield pd.Series([h.tobytes() for h in shingles(part.tolist(), k)], dtype=object)
 
     @F.pandas_udf("boolean")
     def enough(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -209,7 +250,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     lost. Null and empty texts have empty sets and link with nothing. doc_id is a key: rows that repeat one with another
     text are told apart nowhere but in n_shingles; a null doc_id links with nothing.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     first = set_table(docs, k, percent, []).where("doc_id IS NOT NULL")
     counts = first.select(F.explode("prefix").alias("key")).groupBy("key").count().where(F.col("count") > COMMON)
     common = [r.key for r in counts.orderBy(F.col("count").desc(), "key").limit(COMMON_MOST).collect()]
@@ -240,7 +281,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     @F.pandas_udf("binary")
     def signed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([b.tobytes() for b in bitmaps([shingles(t, k) for t in part])], dtype=object)
+            yield pd.Series([b.tobytes() for b in bitmaps(shingles(part.tolist(), k))], dtype=object)
 
     marks = save(docs.select("doc_id", text_or_empty().alias("text")).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), signed("text").alias("bits")), "jaccard-marks")
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and characters of a text in it.
@@ -277,11 +277,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = No
     Null and empty texts have no words and get the score of no evidence. With no labelled rows of both classes nothing is
     learnt and nothing is predicted toxic. Columns of docs named score or predicted are replaced.
     """
+    small_batches(docs.sparkSession)
     made = scorer(docs.sparkSession, model or trained(docs, labels))
     return docs.withColumn("score", made(text_or_empty())).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with their own columns."""
+    small_batches(docs.sparkSession)
     made = scorer(docs.sparkSession, trained(docs, labels))
     return docs.where(made(text_or_empty()) < THRESHOLD)

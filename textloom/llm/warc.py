@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, scratch
+from .common import save, scratch, small_batches
 from .tokens import open_path
 
 #: Captures have no time of their own in pages: page n counts as fetched n seconds after this, unless there is a column captured_at.
@@ -280,6 +280,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     Null html and url count as empty; a null page_id gives a response that nothing refers to unless it stands alone; rows that
     repeat a page_id with the same payload are responses both. An empty table gives no archive.
     """
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     made = write_archives(pages, folder, min_bytes)
