@@ -64,15 +64,30 @@ def _octets(t: Column) -> Column:
 
 def _valid(kind: str, t: Column) -> Column:
     n = F.length(_digits(t))
-    return {"email": F.lit(True), "ip": _octets(t), "card": n.between(13, 19) & F.luhn_check(_digits(t)), "phone": n.between(9, 15)}[kind]
+    return {"email": F.lit(True), "ip": _octets(t), "card": n.between(13, 19) & F.call_function("luhn_check", _digits(t)), "phone": n.between(9, 15)}[kind]
+
+
+def _passes(kind: str):
+    return lambda x: _valid(kind, x["t"])
+
+
+def _span(k: int, *more: str):
+    return lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), *(x[c].alias(c) for c in more))
+
+
+def _labelled(k: int):
+    return lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _valid(KINDS[k], x["t"]).cast("int").alias("label"))
+
+
+def _of_kind(k: int):
+    return lambda b: b["k"] == k
 
 
 def base_spans(text: Column) -> Column:
     """All base spans as structs (k, s, e), k the kind's place in KINDS, in order."""
     parts = []
     for k, kind in enumerate(KINDS):
-        good = F.filter(find(text, BASE[kind], NEEDS[kind]), lambda x, kind=kind: _valid(kind, x["t"]))
-        parts.append(F.transform(good, lambda x, k=k: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
+        parts.append(F.transform(F.filter(find(text, BASE[kind], NEEDS[kind]), _passes(kind)), _span(k)))
     return F.array_sort(F.concat(*parts))
 
 
@@ -86,14 +101,14 @@ def candidates(text: Column) -> Column:
     parts = []
     for k, kind in enumerate(KINDS):
         for pattern, need in zip(GENERATORS[kind], GENERATOR_NEEDS[kind], strict=True):
-            parts.append(F.transform(find(text, pattern, need), lambda x, k=k: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"))))
+            parts.append(F.transform(find(text, pattern, need), _span(k, "t")))
 
     def features(x: Column) -> Column:
         t, digits = x["t"], _digits(x["t"])
         n = F.length(digits)
         before = F.substring(text, F.greatest(F.lit(1), x["s"] - 29), F.least(x["s"], F.lit(30)))
         rows = [
-            x["k"], F.least(n, F.lit(25)), F.when(n.between(13, 19) & F.luhn_check(digits), 1).otherwise(0), F.when(t.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _octets(t).cast("int")).otherwise(F.when(F.contains(t, F.lit(":")), 2).otherwise(3)),
+            x["k"], F.least(n, F.lit(25)), F.when(n.between(13, 19) & F.call_function("luhn_check", digits), 1).otherwise(0), F.when(t.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _octets(t).cast("int")).otherwise(F.when(F.contains(t, F.lit(":")), 2).otherwise(3)),
             F.when(t.startswith("+"), 1).otherwise(0), F.when(F.contains(t, F.lit("(")), 1).otherwise(0), F.least(F.length(F.regexp_replace(t, r"[^\x20.-]", "")), F.lit(8)),
             _class(F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1)))), _class(F.substring(text, x["e"] + 1, F.lit(1))), F.when(before.rlike(CONTEXT), 1).otherwise(0),
             F.coalesce(F.substring(digits, 1, 1).try_cast("int"), F.lit(10)), F.least(F.floor((x["e"] - x["s"]) / 4), F.lit(12)).cast("int"),
@@ -213,7 +228,7 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = 1600) ->
     taught = c.select("c.f", "label").groupBy("f", "label").count()
     if docs is not None:
         text = F.coalesce("text", F.lit(""))
-        found = F.concat(*(F.transform(find(text, BASE[kind], NEEDS[kind]), lambda x, k=k, kind=kind: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _valid(kind, x["t"]).cast("int").alias("label"))) for k, kind in enumerate(KINDS)))
+        found = F.concat(*(F.transform(find(text, BASE[kind], NEEDS[kind]), _labelled(k)) for k, kind in enumerate(KINDS)))
         own = docs.select(candidates(text).alias("c"), found.alias("b")).where(F.size("c") > 0)
         own = own.select(F.explode(F.transform("c", lambda x: F.struct(x["f"].alias("f"), F.get(F.filter("b", lambda b: (b["k"] == x["k"]) & (b["s"] == x["s"]) & (b["e"] == x["e"])), F.lit(0))["label"].alias("label")))).alias("x"))
         taught = taught.unionByName(own.select("x.*").where("label IS NOT NULL").groupBy("f", "label").count())
@@ -254,5 +269,5 @@ def personal_data(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     rows = rows.withColumn("added", F.when(F.size("scored") > 0, added).otherwise(F.array().cast("array<struct<k:int,s:int,e:int>>")))
     names = F.array(*(F.lit(k) for k in KINDS))
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda b, k=k: b["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
