@@ -35,7 +35,7 @@ def parse_number(raw: Column, lang: Column) -> Column:
     # null: contradictory; else whether the last group is decimals
     by_mark = (
         F.when(n == 0, False)
-        .when(mixed, F.when(same == 1, True))
+        .when(mixed, F.when((same == 1) & body.rlike(r"[.,][0-9]+$"), True))
         .when(spaced, F.when((n == 1) & body.rlike(r"[.,][0-9]+$"), True))
         .when(n > 1, False)
         .when(~could_group, True)

@@ -7,8 +7,13 @@ import re
 
 import numpy as np
 
-#: Two white-space characters side by side, or one at an end: there a word's ids depend on what stands next to it.
-_UNSAFE = re.compile(r"\s\s|^\s|\s\Z")
+#: White space but for the space and the newline.
+_ODD = re.compile(r"[^\S \n]")
+
+
+def _unsafe(text: str) -> bool:
+    """Two white-space characters side by side, or one at an end, or an odd one: there a word's ids may depend on what stands next to it."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace() or _ODD.search(text) is not None
 
 
 class Encoder:
@@ -16,11 +21,11 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts before a lone space and around a lone newline that stand between
     characters that aren't white space, so the ids of a text are those of its words in turn. Words are kept with their ids
-    (up to max_words, then the cache starts anew); a text with other white space is encoded in one piece. Strings of
+    (up to max_words, some 300 MB, then the cache starts anew); a text with other white space is encoded in one piece. Strings of
     special tokens in a text count as ordinary text: a document can't forge a control token.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -28,28 +33,60 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_words = max_words
-        outer = self
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = self[word] = outer._ids(word if word[:1] == "\n" else f" {word}")
-                return ids
-
-        self.words = Words()
+        # Words after a space as they are, after a newline with it, and a text's first with a carriage return, which no word there begins with.
+        self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as packed little-endian numbers of self.dtype."""
-        if not text:
-            return b""
-        if _UNSAFE.search(text):
-            return self._ids(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.many([text])[0]
+
+    def many(self, texts: list) -> list[bytes]:
+        """The ids of several texts; words met for the first time are encoded together."""
         if len(self.words) > self.max_words:
             self.words.clear()
-        return self._ids(first) + b"".join(map(self.words.__getitem__, rest))
+        split, new, known, late = [], set(), self.words.get, []
+        for text in texts:
+            if not text or _unsafe(text):
+                split.append(text and self._ids(text) or b"")
+                continue
+            words = f"\r{text}".replace("\n", " \n").split(" ")
+            ids = list(map(known, words))
+            if None in ids:
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                new.update([words[i] for i in gaps])
+                late.append((ids, words, gaps))
+            split.append(ids)
+        if new:
+            self._learn(new)
+        for ids, words, gaps in late:
+            for i in gaps:
+                ids[i] = self.words[words[i]]
+        return [x if isinstance(x, bytes) else b"".join(x) for x in split]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encodes new words of a kind as one text with newlines between, which are ids of their own and part the result."""
+        kinds: dict[str, list[str]] = {"\n": [], "\r": [], " ": []}
+        for w in new:
+            kinds[w[:1] if w[:1] in kinds else " "].append(w)
+        for w in kinds["\r"]:
+            self.words[w] = self._ids(w[1:])
+        mark = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        for kind, own in ((k, kinds[k]) for k in ("\n", " ")):
+            for i in range(0, len(own), 20_000):
+                group = own[i : i + 20_000]
+                text = "".join(group) if kind == "\n" else "\n " + "\n ".join(group)
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+                cuts = np.flatnonzero(ids == mark[0])
+                if len(mark) != 1 or len(cuts) != len(group):  # another vocabulary: word by word
+                    self.words.update((w, self._ids(w if kind == "\n" else f" {w}")) for w in group)
+                    continue
+                raw, n = ids.tobytes(), self.dtype.itemsize
+                ends = [*(cuts[1:] * n).tolist(), len(raw)]
+                begins = (cuts * n if kind == "\n" else (cuts + 1) * n).tolist()
+                self.words.update(zip(group, [raw[a:z] for a, z in zip(begins, ends, strict=True)], strict=True))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_or_empty
+from .common import save, small_batches, text_or_empty
 from .encoding import encoder, tokenizer_path
 
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -168,12 +168,13 @@ def pack(items: DataFrame, sizes: tuple[int, ...] = SIZES, cost: Callable[[int],
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, tie) of docs: ids of the whole text (null: empty) and the end id; tie is the text's hash."""
+    small_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(encode(t)) // encode.dtype.itemsize + 1 for t in part["text"]], "tie": part["tie"]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) // encode.dtype.itemsize + 1 for x in encode.many(part["text"].tolist())], "tie": part["tie"]})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
     return rows.withColumn("tie", F.xxhash64("text")).mapInPandas(count, "doc_id string, n_tokens long, tie long").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_or_empty
+from .common import scratch, small_batches, text_or_empty
 from .encoding import encoder, tokenizer_path
 
 MAGIC = b"TLSST001"
@@ -207,7 +207,7 @@ def open_path(path: str, mode: str = "rb"):
     if mode == "rb":
         return files.open_input_file(inner)
     files.create_dir(inner.rpartition("/")[0], recursive=True)
-    return files.open_output_stream(inner)
+    return files.open_output_stream(inner, compression=None)  # a name in .gz is no wish to compress
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[dict]:
@@ -224,13 +224,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         encode, out, path, tokens, first, last = encoder(tokenizer), None, "", 0, None, None
         end = np.array([end_id], encode.dtype).tobytes()
         for part in parts:
-            for doc_id, text in zip(part["doc_id"].tolist(), part["text"].tolist(), strict=True):
+            for doc_id, ids in zip(part["doc_id"].tolist(), encode.many(part["text"].tolist()), strict=True):
                 if out is None:
                     path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
                     stream = open_path(path, "wb")
                     out = TableWriter(stream, encode.dtype.itemsize)
                 key = key_of(None if doc_id is None or doc_id != doc_id else int(doc_id))
-                value = encode(text) + end
+                value = ids + end
                 out.add(key, value)
                 tokens += len(value) // encode.dtype.itemsize
                 first, last = first if first is not None else key, key
@@ -297,5 +297,6 @@ def token_shards(docs: DataFrame, tokenizer: str | None = None, folder: str | No
     docs has doc_id and text; other columns are ignored. An empty table gives no shard and no row; an empty or null text
     gives one id, end_id; repeated rows each keep their place.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     return read_shards(spark, write_shards(docs, folder or scratch(spark, "tokens"), tokenizer or tokenizer_path(), end_id))

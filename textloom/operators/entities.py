@@ -40,8 +40,10 @@ def value_of(raw: str, lang: str) -> str | None:
     elif marks:
         i, s = marks[-1]
         same = sum(t == s for _, t in marks)
+        end = i == len(seps) - 1
         if same < len(marks) or len(marks) < len(seps):
-            if same != 1 or i != len(seps) - 1 or len(marks) < len(seps) and len(marks) > 1:
+            # Both marks, or one beside apostrophes or spaces: the last parts decimals and must be the last of all.
+            if not end or same != 1 or same == len(marks) and len(marks) != 1:
                 return None
             at = i
         elif len(marks) == 1:
