@@ -115,13 +115,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
 
     placed = save(reps.mapInPandas(assign, "rep long, copies long, dim int, e binary, probes array<long>"), "embed-cells")
     at_home = placed.groupBy("dim", F.col("probes")[0].alias("cell")).count()
-    # Blocks of a cell's homes; each row of a cell goes to every block of it but meets each other row once.
+    # A cell's homes are dealt to blocks, its visitors to parts; block b meets part p in a group of its own, so that no task
+    # holds a whole cell. Part o of the homes is block o.
     blocks = save(at_home.select("dim", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "embed-blocks")
     seen = placed.select("*", F.posexplode("probes").alias("place", "cell")).join(F.broadcast(blocks), ["dim", "cell"])  # at most CELLS rows for each length
     seen = seen.withColumn("home", F.col("place") == 0).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # Visitors and homes are queries against each block of homes; the block's own homes are its rows.
-    seen = seen.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    seen = seen.select("dim", "cell", "block", "rep", "copies", "e", "probes", "home", (F.col("home") & (F.col("own") == F.col("block"))).alias("base"), "own")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    asks = F.transform(every, lambda b: F.struct(b.alias("block"), F.col("own").alias("part"), (F.col("home") & (b == F.col("own"))).alias("base"), F.lit(True).alias("query")))
+    answers = F.transform(F.filter(every, lambda p: p != F.col("own")), lambda p: F.struct(F.col("own").alias("block"), p.alias("part"), F.lit(True).alias("base"), F.lit(False).alias("query")))
+    seen = seen.withColumn("g", F.explode(F.when(F.col("home"), F.concat(asks, answers)).otherwise(asks)))
+    seen = seen.select("dim", "cell", "g.*", "rep", "copies", "e", "probes", "home", "own")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         dim, cell = int(part["dim"].iloc[0]), int(part["cell"].iloc[0])
@@ -129,12 +132,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
         ids, copies = part["rep"].to_numpy(np.int64), part["copies"].to_numpy(np.int64)
         home, own = part["home"].to_numpy(bool), part["own"].to_numpy(np.int64)
         base = np.flatnonzero(part["base"].to_numpy(bool))
+        asking = np.flatnonzero(part["query"].to_numpy(bool))
         block = int(part["block"].iloc[0])
         probes = part["probes"].tolist()
         sees = {int(j): set(map(int, probes[j])) for j in base}
         links, la, lb = np.zeros(len(part), np.int64), [], []
-        for i in range(0, len(part), BLOCK):
-            q = np.arange(i, min(i + BLOCK, len(part)))
+        for i in range(0, len(asking) if len(base) else 0, BLOCK):
+            q = asking[i : i + BLOCK]
             S = X[q] @ X[base].T
             x, y = np.nonzero(S >= threshold - 1e-12)
             x, y = q[x], base[y]
@@ -156,7 +160,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
         some = np.flatnonzero(links)
         return pd.DataFrame({"a": [*ids[some].tolist(), *(a for a, _ in forest)], "b": pd.array([*[pd.NA] * len(some), *(b for _, b in forest)], dtype="Int64"), "n": [*links[some].tolist(), *[0] * len(forest)]})
 
-    found = save(seen.groupBy("dim", "cell", "block").applyInPandas(meet, "a long, b long, n long"), "embed-found")
+    found = save(seen.groupBy("dim", "cell", "block", "part").applyInPandas(meet, "a long, b long, n long"), "embed-found")
     groups = save(components(found.where("b IS NOT NULL").select("a", "b"), "embed-groups"), "embed-groups")
     degrees = save(found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")), "embed-degrees")
     answer = mapping.join(degrees, "rep", "left").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
