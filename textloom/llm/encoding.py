@@ -9,11 +9,12 @@ import numpy as np
 
 #: White space but for the space and the newline.
 _ODD = re.compile(r"[^\S \n]")
+_ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def _unsafe(text: str) -> bool:
     """Two white-space characters side by side, or one at an end, or an odd one: there a word's ids may depend on what stands next to it."""
-    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace() or _ODD.search(text) is not None
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace() or (any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text) is not None)
 
 
 class Encoder:
@@ -35,6 +36,7 @@ class Encoder:
         self.max_words = max_words
         # Words after a space as they are, after a newline with it, and a text's first with a carriage return, which no word there begins with.
         self.words: dict[str, bytes] = {}
+        self.texts: dict[str, bytes] = {}  # of late, whole: copies are common
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -47,8 +49,13 @@ class Encoder:
         """The ids of several texts; words met for the first time are encoded together."""
         if len(self.words) > self.max_words:
             self.words.clear()
-        split, new, known, late = [], set(), self.words.get, []
+        if len(self.texts) > 4096:
+            self.texts.clear()
+        split, new, known, late, same = [], set(), self.words.get, [], self.texts.get
         for text in texts:
+            if (ids := same(text)) is not None:
+                split.append(ids)
+                continue
             if not text or _unsafe(text):
                 split.append(text and self._ids(text) or b"")
                 continue
@@ -64,7 +71,9 @@ class Encoder:
         for ids, words, gaps in late:
             for i in gaps:
                 ids[i] = self.words[words[i]]
-        return [x if isinstance(x, bytes) else b"".join(x) for x in split]
+        out = [x if isinstance(x, bytes) else b"".join(x) for x in split]
+        self.texts.update((t, x) for t, x in zip(texts, out, strict=True) if t and len(t) < 10_000)
+        return out
 
     def _learn(self, new: set[str]) -> None:
         """Encodes new words of a kind as one text with newlines between, which are ids of their own and part the result."""
