@@ -25,6 +25,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 5000, 20_000
 THRESHOLD = 0.7
 #: Slope of a filter's response below zero.
 LEAK = 0.1
+#: Texts of the sample that a word must be in to count.
+LEAST_TEXTS = 4
 #: Very frequent words by which a text's language is told.
 FREQUENT = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "with"),
@@ -69,7 +71,7 @@ class Model:
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.E = (r.standard_normal((BUCKETS, DIM)) / 10).astype(np.float32)
+        self.E = (r.standard_normal((BUCKETS, DIM)) / 100).astype(np.float32)
         self.F = [(r.standard_normal((w, DIM, FILTERS)) / np.sqrt(w * DIM)).astype(np.float32) for w in WIDTHS]
         self.b = np.zeros(FILTERS * len(WIDTHS), np.float32)
         self.u = (r.standard_normal(FILTERS * len(WIDTHS)) / 3).astype(np.float32)
@@ -77,14 +79,18 @@ class Model:
         self.shift = np.zeros(len(LANGS))
         self.scale = 1.0
 
-    def forward(self, X: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """X: word vectors, each text followed by two rows of zeros; starts: where texts begin. Pooled (texts, filters), argmax."""
+    def forward(self, X: np.ndarray, starts: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """X: word vectors, each text followed by two rows of zeros that aren't real; starts: where texts begin. Pooled (texts, filters), argmax.
+
+        A window starts at a word of its text; the empty places stand for no response, so no text sees the next one.
+        """
         n, pooled, where = len(X), [], []
         ends = np.append(starts[1:], n)
         for k, w in enumerate(WIDTHS):
             out = X @ self.F[k][0]
             for j in range(1, w):
                 out[: n - j] += X[j:] @ self.F[k][j]
+            out[~real] = 0
             best = np.maximum.reduceat(out, starts, axis=0)
             pooled.append(best)
             if self.train:
@@ -111,8 +117,8 @@ def _lay(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for t in texts for x in (t, gap)]), starts
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, seed: int = 7) -> Model:
-    """Trains on texts and calibrates thresholds on every fifth of them, which training leaves out."""
+def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, seed: int = 7, steps: int = 800) -> Model:
+    """Trains on texts and calibrates thresholds on every fifth of them, which training leaves out. Small samples are gone over more often, to so many steps."""
     model, words = Model(seed), Words()
     ids = [words.ids(t) for t in texts]
     y = np.array(labels, np.float32)
@@ -127,7 +133,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
         m, v = [np.zeros_like(p) for p in named], [np.zeros_like(p) for p in named]
         G2 = np.full(model.E.shape, 1e-8, np.float32)
         step, model.train = 0, True
-        for _ in range(epochs):
+        # Only buckets of LEAST_TEXTS texts or more can say anything: rarer words would be learnt by heart.
+        texts_of = np.zeros(BUCKETS, np.int64)
+        for j in fitting:
+            texts_of[np.unique(H[ids[j]])] += 1
+        told = texts_of >= LEAST_TEXTS
+        model.E[~told] = 0
+        for _ in range(max(epochs, -(-steps * batch // len(fitting)) if len(fitting) > batch else epochs)):
             order = r.permutation(fitting)
             for i in range(0, len(order), batch):
                 pick = order[i : i + batch]
@@ -135,7 +147,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
                 X = np.zeros((len(at), DIM), np.float32)
                 real = at >= 0
                 X[real] = model.E[H[at[real]]].sum(1)
-                pooled, where = model.forward(X, starts)
+                pooled, where = model.forward(X, starts, real)
                 hidden = np.where(pooled > 0, pooled, LEAK * pooled)
                 p = 1 / (1 + np.exp(-np.clip(hidden @ model.u + model.c[0], -30, 30)))
                 d = (p - y[pick]) * weight[pick] / len(pick)
@@ -143,7 +155,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
                 grads = [np.zeros_like(f) for f in model.F]
                 rows, vals = [], []
                 for k, w in enumerate(WIDTHS):
-                    g, a = back[:, k * FILTERS : (k + 1) * FILTERS], where[:, k * FILTERS : (k + 1) * FILTERS]
+                    a = where[:, k * FILTERS : (k + 1) * FILTERS]
+                    g = back[:, k * FILTERS : (k + 1) * FILTERS] * real[a]
                     for j in range(w):
                         src = np.minimum(a + j, len(X) - 1)
                         grads[k][j] = np.einsum("nfd,nf->df", X[src], g)
@@ -155,6 +168,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
                 uniq, inv = np.unique(buckets, return_inverse=True)
                 ge = np.zeros((len(uniq), DIM), np.float32)
                 np.add.at(ge, inv, np.repeat(vals[keep], 4, axis=0))
+                ge[~told[uniq]] = 0
                 G2[uniq] += ge * ge
                 model.E[uniq] -= 0.1 * ge / np.sqrt(G2[uniq])
                 step += 1
@@ -163,11 +177,6 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
                     v[q] = 0.99 * v[q] + 0.01 * g * g
                     pp -= 0.01 * (m[q] / (1 - 0.9**step)) / (np.sqrt(v[q] / (1 - 0.99**step)) + 1e-8)
         model.train = False
-    # Buckets that training never met say nothing.
-    met = np.zeros(BUCKETS, bool)
-    for j in fitting:
-        met[H[ids[j]]] = True
-    model.E[~met] = 0
     vectors = model.E[H].sum(1) if len(H) else np.zeros((0, DIM), np.float32)
     logits = np.concatenate([_logits(model, vectors, ids[i : i + 64]) for i in range(0, len(ids), 64)]) if ids else np.zeros(0)
     _calibrate(model, logits, y, langs, part)
@@ -178,7 +187,7 @@ def _logits(model: Model, vectors: np.ndarray, ids: list[np.ndarray]) -> np.ndar
     at, starts = _lay(ids)
     X = np.zeros((len(at), DIM), np.float32)
     X[at >= 0] = vectors[at[at >= 0]]
-    return model.logits(model.forward(X, starts)[0])
+    return model.logits(model.forward(X, starts, at >= 0)[0])
 
 
 def _calibrate(model: Model, logits: np.ndarray, y: np.ndarray, langs: np.ndarray, part: np.ndarray) -> None:
@@ -242,13 +251,14 @@ def score_texts(model: Model, parts: Iterator[pd.Series]) -> Iterator[pd.Series]
                 known = now
             at, starts = _lay(group)
             at += 1
-            at[at < 0] = 0
+            gap = np.flatnonzero(at == 0)
             pooled, tap = np.zeros((len(group), FILTERS * len(WIDTHS)), np.float32), 0
             for k, w in enumerate(WIDTHS):
                 for f in range(FILTERS):
                     r = table[tap, f].take(at)
                     for j in range(1, w):
                         r[:-j] += table[tap + j, f].take(at[j:])
+                    r[gap] = 0
                     pooled[:, k * FILTERS + f] = np.maximum.reduceat(r, starts)
                 tap += w
             langs = np.array([language(votes[g]) for g in group], int)
