@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import inline
-from ..operators import claims, entities, export, formats, language, stages
+from ..functions import text as T
+from ..operators import claims, entities, export, formats, integrity, language, reporting, stages
 from ..sources import readers, web
 from .registry import query, table
 from .report_queries import calls
@@ -190,3 +191,86 @@ def hourly_calls(spark, sf_dir):
     return rows.select("provider", F.floor(F.unix_timestamp("w.start") / 3600).cast("long").alias("hour"), "calls")
 
 
+
+
+@query()
+def integrity_findings(spark, sf_dir):
+    """Figures, codes, addresses, claims and terms of each turn held against the next as if it were its translation."""
+    c = table(spark, sf_dir, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    terms = {"T1": {"en": ("the",), "de-CH": ("der", "die")}}
+    f = integrity.findings(F.col("text"), F.col("target"), F.lit("en"), F.lit("en-GB"), "de-CH", glossary=terms)
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.explode(f).alias("f")).select("conv_id", "turn", "f.rule", "f.severity", "f.found")
+
+
+@query()
+def back_translation(spark, sf_dir):
+    """Targets translated back by a provider and held against their sources."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("p-"), F.col("turn").cast("string")).alias("segment_id"), F.col("text").alias("source_text"), F.col("text").alias("target_text"), F.lit("en").alias("source_lang"))
+    back = stages.back_translate(rows, stages.mock_provider())
+    return back.select("doc_id", "segment_id", T.round_half_up(T.token_f1(F.col("source_text"), F.col("back")), 3).alias("f1"))
+
+
+@query()
+def judge_scores(spark, sf_dir):
+    """A judge's five scores read from its JSON."""
+    import pandas as pd
+
+    def scorer(rows):
+        return pd.DataFrame({"key": rows["key"], "output": [f'{{"accuracy":{len(t) % 101},"fluency":90,"terminology":80,"locale_conventions":70,"style_brand":60,"confidence":0.9}}' for t in rows["text"]]})
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("p-"), F.col("turn").cast("string")).alias("segment_id"), F.col("text").alias("target_text"))
+    return stages.judge(rows, scorer).select("doc_id", "segment_id", "judged.*")
+
+
+@query("""WITH r AS (SELECT source AS provider, CASE WHEN source LIKE '%7' THEN 'PARTIAL' WHEN source LIKE '%5' THEN 'FAILED' ELSE 'COMPLETE' END AS status, count(*) FILTER (l.quality IS NULL) AS missing, count(*) FILTER (l.toxic = 1) AS unpriced, count(DISTINCT lang) AS targets FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source),
+a AS (SELECT count(DISTINCT targets) AS n FROM r)
+SELECT provider, unnest(list_filter([CASE WHEN status = 'FAILED' THEN 'CANDIDATE_FAILED' END, CASE WHEN provider = 'src3' THEN 'JUDGE_NOT_INDEPENDENT' END, CASE WHEN status = 'PARTIAL' THEN 'CANDIDATE_INCOMPLETE' END, CASE WHEN n > 1 THEN 'TARGETS_DIFFER' END, CASE WHEN unpriced > 0 THEN 'PRICING_UNKNOWN' END, CASE WHEN missing > 0 THEN 'SEGMENTS_WITHOUT_OUTPUT' END], lambda x: x IS NOT NULL)) AS code FROM r, a""")
+def comparison_notes(spark, sf_dir):
+    """What a comparison of sources has to say of itself."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    runs = d.groupBy(F.col("source").alias("provider")).agg(F.count_if(F.col("quality").isNull()).alias("missing"), F.count_if(F.col("toxic") == 1).alias("unpriced"), F.countDistinct("lang").alias("targets"))
+    runs = runs.withColumns({"status": F.when(F.col("provider").like("%7"), "PARTIAL").when(F.col("provider").like("%5"), "FAILED").otherwise("COMPLETE"), "served_by": F.col("provider"), "doc_key": F.lit("one"), "unvalidated": F.lit(0)})
+    return reporting.notes(runs, "src3")
+
+
+_HEADS = "CASE WHEN doc_id % 5 = 0 THEN '  given ' ELSE '' END AS a, CASE WHEN doc_id % 5 = 1 THEN ' ; first, second' END AS b, CASE WHEN doc_id % 5 = 2 THEN 'Heading' END AS c, CASE WHEN doc_id % 5 = 3 THEN 'Title | Brand' END AS d"
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'given' WHEN 1 THEN 'first' WHEN 2 THEN 'Heading' WHEN 3 THEN 'Title' END AS keyword, CASE doc_id % 5 WHEN 0 THEN 'provided' WHEN 1 THEN 'meta_keywords' WHEN 2 THEN 'derived_h1' WHEN 3 THEN 'derived_title' END AS origin FROM documents")
+def pick_keyword(spark, sf_dir):
+    k, o = reporting.keyword(*(F.col(c) for c in "abcd"))
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", *_HEADS.split(", CASE")[:1], *(f"CASE{x}" for x in _HEADS.split(", CASE")[1:])).select("doc_id", k.alias("keyword"), o.alias("origin"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || '-' || upper(lang) ELSE 'xx-*' END AS locale FROM documents")
+def final_locale(spark, sf_dir):
+    """A region that is known stays where the text's language agrees."""
+    known = F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("-"), F.upper("lang"))).otherwise(F.concat("lang", F.lit("-*")))
+    found = F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit("-*"))).otherwise(F.lit("xx-*"))
+    return table(spark, sf_dir, "documents").select("doc_id", reporting.final_locale(known, found).alias("locale"))
+
+
+@query("SELECT o_custkey AS job_id, count(DISTINCT o_orderstatus) AS locales, count(*) FILTER (o_orderstatus = 'F') AS failed, string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) AS warnings FROM orders GROUP BY o_custkey")
+def job_summary(spark, sf_dir):
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderstatus").alias("locale"), F.when(F.col("o_orderstatus") == "F", "FAIL").otherwise("PASS").alias("verdict"), F.col("o_orderpriority").alias("warning"))
+    return reporting.job_summary(jobs)
+
+
+@query("SELECT source AS rule, arg_min(substring(text, 1, 30), doc_id) FILTER (doc_id % 3 = 0) AS wrong, arg_min(substring(text, 1, 30), doc_id) FILTER (doc_id % 3 <> 0) AS right FROM documents GROUP BY source".replace("AS right", 'AS "right"'))
+def rule_examples(spark, sf_dir):
+    tests = table(spark, sf_dir, "documents").select(F.col("source").alias("rule"), F.col("doc_id").alias("n"), F.substring("text", 1, 30).alias("target"), F.when(F.col("doc_id") % 3 == 0, "fail").otherwise("pass").alias("expect"))
+    return reporting.rule_examples(tests)
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) IN ('tionsh.example.net', 'm.tiontion.example.com') AS allowed FROM pages")
+def host_allowed(spark, sf_dir):
+    host = F.concat(F.regexp_extract("url", "://([^/?#:]*)", 1), F.lit(":443"))
+    return table(spark, sf_dir, "pages").select("page_id", reporting.host_allowed(host, ("tionsh.example.net", "m.tiontion.example.com")).alias("allowed"))
+
+
+@query("WITH a AS (SELECT lang AS target, substring(text, 1, 4) AS text, 0 AS n FROM documents UNION ALL SELECT 'en', ' ' || substring(text, 1, 4), 1 FROM conversations) SELECT target, arg_min(text, (n, text)) AS text FROM a GROUP BY target, lower(trim(text))")
+def recommendations(spark, sf_dir):
+    a = table(spark, sf_dir, "documents").select(F.col("lang").alias("target"), F.substring("text", 1, 4).alias("text"))
+    b = table(spark, sf_dir, "conversations").select(F.lit("en").alias("target"), F.concat(F.lit(" "), F.substring("text", 1, 4)).alias("text"))
+    return reporting.recommendations(a, b)
