@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
 
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and characters of a text in it.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 5000, 20_000
 THRESHOLD = 0.7
@@ -27,6 +27,10 @@ THRESHOLD = 0.7
 LEAK = 0.1
 #: Texts of the sample that a word must be in to count.
 LEAST_TEXTS = 4
+#: Part of a text's words that a pass of the training leaves out, so that each word has to tell by itself.
+DROP = 0.4
+#: Words that are scored at a time.
+GROUP = 50_000
 #: Very frequent words by which a text's language is told.
 FREQUENT = {
     "en": ("the", "of", "and", "to", "in", "is", "that", "with"),
@@ -41,7 +45,7 @@ _WORD = re.compile(r"\w+")
 class Words(dict):
     """Word -> row of a growing table of its four buckets and of its language votes."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
         self.rows: list[tuple[int, int, int, int]] = []
@@ -51,7 +55,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         whole, head = word.encode("utf-8", "surrogatepass"), word[:4].encode("utf-8", "surrogatepass")
         row = tuple(zlib.crc32(x, seed) % BUCKETS for x, seed in ((b"w" + whole, 1), (b"w" + whole, 77), (b"p" + head, 3), (b"p" + head, 99)))
-        n = self[word] = len(self.rows)
+        n = self[word] = len(self)
         self.rows.append(row)
         self.votes.append(self.lang.get(word, len(FREQUENT)))
         return n
@@ -117,7 +121,7 @@ def _lay(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for t in texts for x in (t, gap)]), starts
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, seed: int = 7, steps: int = 800) -> Model:
+def fit(texts: list[str], labels: list[int], epochs: int = 10, batch: int = 64, seed: int = 7, steps: int = 800) -> Model:
     """Trains on texts and calibrates thresholds on every fifth of them, which training leaves out. Small samples are gone over more often, to so many steps."""
     model, words = Model(seed), Words()
     ids = [words.ids(t) for t in texts]
@@ -143,7 +147,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
             order = r.permutation(fitting)
             for i in range(0, len(order), batch):
                 pick = order[i : i + batch]
-                at, starts = _lay([ids[j] for j in pick])
+                at, starts = _lay([ids[j][r.random(len(ids[j])) > DROP] for j in pick])
                 X = np.zeros((len(at), DIM), np.float32)
                 real = at >= 0
                 X[real] = model.E[H[at[real]]].sum(1)
@@ -228,27 +232,27 @@ def score_texts(model: Model, parts: Iterator[pd.Series]) -> Iterator[pd.Series]
     """Scores of whole texts. Each word is looked up once and kept, up to a limit, with what every filter tap makes of it."""
     taps = np.concatenate([f for f in model.F], 0)  # one for each place in each width: (places, DIM, FILTERS)
     words, known = Words(), 0
-    table, votes = np.zeros((len(taps), FILTERS, 1), np.float32), np.zeros(0, np.int64)
+    # Room for the limit and for what one group may add beyond it, taken once.
+    table, votes = np.zeros((len(taps), FILTERS, words.limit + 2 * GROUP + 1), np.float32), np.zeros(words.limit + 2 * GROUP, np.int8)
     for part in parts:
         out, texts = [], part.tolist()
         i = 0
         while i < len(texts):
             if len(words) > words.limit:
                 words, known = Words(), 0
-                table, votes = np.zeros((len(taps), FILTERS, 1), np.float32), np.zeros(0, np.int64)
             group, n = [], 0
-            while i < len(texts) and n < 100_000:
+            while i < len(texts) and n < GROUP:
                 group.append(words.ids(texts[i]))
                 n += len(group[-1])
                 i += 1
-            if (now := len(words.rows)) > known:
-                if now >= table.shape[2]:  # row 0 is the empty place
+            if (now := len(words)) > known:
+                if now >= table.shape[2]:  # one very long text of new words
                     table = np.concatenate([table, np.zeros((len(taps), FILTERS, now), np.float32)], 2)
-                    votes = np.concatenate([votes, np.zeros(now, np.int64)])
-                new = model.E[np.array(words.rows[known:], np.int64)].sum(1)
-                table[:, :, known + 1 : now + 1] = np.einsum("nd,tdf->tfn", new, taps, optimize=True)
-                votes[known:now] = words.votes[known:]
-                known = now
+                    votes = np.concatenate([votes, np.zeros(now, np.int8)])
+                new = model.E[np.array(words.rows, np.int64)].sum(1)
+                table[:, :, known + 1 : now + 1] = np.einsum("nd,tdf->tfn", new, taps, optimize=True)  # row 0 is the empty place
+                votes[known:now] = words.votes
+                words.rows, words.votes, known = [], [], now
             at, starts = _lay(group)
             at += 1
             gap = np.flatnonzero(at == 0)
