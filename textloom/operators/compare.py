@@ -19,8 +19,8 @@ def usage(calls: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("calls"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-        T.round_half_up(F.sum(F.coalesce("cost", F.lit(0.0))), 4).alias("cost_usd"),
-        T.round_half_up(F.sum("latency_ms"), 1).alias("latency_ms"),
+        T.round_half_up(F.sum(F.coalesce("cost", F.lit(0.0))), 6).alias("cost_usd"),
+        T.round_half_up(F.sum("latency_ms"), 3).alias("latency_ms"),
         F.count_if(F.col("cost").isNull()).alias("unpriced"),
     )
 
@@ -29,7 +29,7 @@ def cost_rollup(calls: DataFrame) -> DataFrame:
     """Candidate stages by (provider, stage) and, as stage all, by provider: grouping sets over one pass."""
     rows = calls.where(cost_role(F.col("stage")) == "candidate")
     g = rows.groupingSets([[F.col("provider"), F.col("stage")], [F.col("provider")]], F.col("provider"), F.col("stage"))
-    out = g.agg(F.count("*").alias("calls"), T.round_half_up(F.sum(F.coalesce("cost", F.lit(0.0))), 4).alias("cost_usd"))
+    out = g.agg(F.count("*").alias("calls"), T.round_half_up(F.sum(F.coalesce("cost", F.lit(0.0))), 6).alias("cost_usd"))
     return out.withColumn("stage", F.coalesce("stage", F.lit("all")))
 
 
@@ -54,7 +54,7 @@ def under_ceiling(calls: DataFrame, keys: list[str], order: list[str], ceiling:
     """calls with spent, the cost before each, and halted, whether that had reached the ceiling."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     spent = F.coalesce(F.sum(F.coalesce("cost", F.lit(0.0))).over(w), F.lit(0.0))
-    return calls.withColumn("spent", T.round_half_up(spent, 4)).withColumn("halted", F.col("spent") >= ceiling)
+    return calls.withColumn("spent", T.round_half_up(spent, 6)).withColumn("halted", F.col("spent") >= ceiling)
 
 
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:

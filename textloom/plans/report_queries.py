@@ -16,8 +16,8 @@ from .segment_queries import LINES, line_rows
 _STAGE = "CASE CAST(user_id % 6 AS INT) WHEN 0 THEN 'language_detection' WHEN 1 THEN 'translation' WHEN 2 THEN 'localization' WHEN 3 THEN 'validation' WHEN 4 THEN 'backtranslation' ELSE 'repair' END"
 _COLS = f"event_id, ts, user_id, event_type AS provider, {_STAGE} AS stage, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 1000.0{{d}} END AS cost, value * 3.0{{d}} AS latency_ms, event_id % 500 AS input_tokens, event_id % 300 AS output_tokens"
 _CALLS = f"WITH calls AS (SELECT {_COLS.format(d='::DOUBLE')} FROM events)"
-_COST = "floor(sum(coalesce(cost, 0.0::DOUBLE)) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
-_LATENCY = "floor(sum(latency_ms) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE"
+_COST = "floor(sum(coalesce(cost, 0.0::DOUBLE)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+_LATENCY = "floor(sum(latency_ms) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE"
 _SUMS = f"count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, {_COST} AS cost_usd, {_LATENCY} AS latency_ms, count(*) FILTER (cost IS NULL) AS unpriced"
 
 
@@ -81,10 +81,10 @@ def log_counts(spark, sf_dir):
 
 @query(_CALLS + f" SELECT user_id, ts::DATE AS day, {_COST} AS spent FROM calls GROUP BY user_id, ts::DATE")
 def daily_spend(spark, sf_dir):
-    return calls(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(T.round_half_up(F.sum(F.coalesce("cost", F.lit(0.0))), 4).alias("spent"))
+    return calls(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(T.round_half_up(F.sum(F.coalesce("cost", F.lit(0.0))), 6).alias("spent"))
 
 
-@query(_CALLS + """, s AS (SELECT event_id, user_id, floor(coalesce(sum(coalesce(cost, 0.0::DOUBLE)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS spent FROM calls)
+@query(_CALLS + """, s AS (SELECT event_id, user_id, floor(coalesce(sum(coalesce(cost, 0.0::DOUBLE)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS spent FROM calls)
 SELECT event_id, spent, spent >= 0.5 AS halted FROM s""")
 def cost_ceiling(spark, sf_dir):
     """What a user had spent before each call, and whether that halts it."""
