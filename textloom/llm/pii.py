@@ -34,6 +34,8 @@ GENERATORS = {
 GENERATOR_NEEDS = {"email": ("at",), "ip": (".", ":"), "card": ("", "", ""), "phone": ("+", "+", "")}
 CONTEXT = r"(?i)(?:mail|contact|phone|call|tel|fax|mobile|card|visa|credit|pay|host|server|addr|ip)[^\n]{0,24}$"
 FEATURES = ("kind", "digits", "luhn", "octets", "plus", "paren", "separators", "before", "after", "context", "first", "length")
+#: The most frequent feature rows that the trees are fitted on; lessons() alone give some hundreds.
+FIT_ROWS = 50_000
 _SPAN = "array<struct<s:int,e:int,t:string>>"
 
 
@@ -232,6 +234,7 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = 1600) ->
         own = docs.select(candidates(text).alias("c"), found.alias("b")).where(F.size("c") > 0)
         own = own.select(F.explode(F.transform("c", lambda x: F.struct(x["f"].alias("f"), F.get(F.filter("b", lambda b: (b["k"] == x["k"]) & (b["s"] == x["s"]) & (b["e"] == x["e"])), F.lit(0))["label"].alias("label")))).alias("x"))
         taught = taught.unionByName(own.select("x.*").where("label IS NOT NULL").groupBy("f", "label").count())
+    taught = taught.orderBy(F.col("count").desc(), "f", "label").limit(FIT_ROWS)
     got = sorted((tuple(r.f), r.label, r["count"]) for r in taught.collect())
     X = np.array([f for f, _, _ in got], np.int64).reshape(-1, len(FEATURES))
     y, w = np.array([v for _, v, _ in got], float), np.log1p(np.array([k for _, _, k in got], float))

@@ -34,7 +34,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest_words", "longest_item_id", "longest_at")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,34 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_token_shards, op3_personal_data, op4_embedding_dedup, op5_toxicity, op6_decontamination, op7_main_text, op8_line_dedup, op9_ngram_jaccard, op10_warc, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Classes of links (a, b), both ways, over nodes (id): the smallest id that each reaches.
+_CLASSES = """reach(id, c) AS (SELECT id, id FROM nodes UNION SELECT links.a, reach.c FROM reach JOIN links ON links.b = reach.id AND reach.c < links.a), classes AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+real AS (SELECT id, e FROM nodes WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM real x JOIN real y ON x.id <> y.id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95), {_CLASSES}
+SELECT nodes.id AS vec_id, (SELECT count(*) FROM links WHERE a = nodes.id) AS n_links, component_id, nodes.id = component_id AS kept FROM nodes JOIN classes USING (id)""",
+    "op6_decontamination": rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW.format('text')}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOW.format('text')}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+k AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+t AS (SELECT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM k)),
+s AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM k) WHERE len(w) >= k)),
+m AS (SELECT doc_id, s.k, i, item_id FROM s JOIN t ON s.k = t.k AND s.win = t.win),
+h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM m) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(g.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)""",
+    # The tables' pages have one layout, whose article SQL can cut out.
+    "op7_main_text": r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+p AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(t, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS x FROM a)
+SELECT page_id, url, array_to_string(x, chr(10)) AS text, length(array_to_string(x, chr(10))) AS n_chars FROM p""",
+    "op9_ngram_jaccard": rf"""WITH RECURSIVE nodes AS (SELECT doc_id AS id, list_filter(regexp_split_to_array({_LOW.format('text')}, '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM nodes WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id), o AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+links AS (SELECT a, b FROM o JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)), {_CLASSES}
+SELECT nodes.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM nodes JOIN classes USING (id) LEFT JOIN n USING (id)""",
+    "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) || '00' AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((instr('0123456789abcdef', substring(h, (5 * i) // 4 + 1, 1)) - 1) * 256 + (instr('0123456789abcdef', substring(h, (5 * i) // 4 + 2, 1)) - 1) * 16 + instr('0123456789abcdef', substring(h, (5 * i) // 4 + 3, 1)) - 1) // (1 << (7 - (5 * i) % 4)::INT)) % 32 + 1)::INT, 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+}
