@@ -187,8 +187,8 @@ def entity_formats(spark, sf_dir):
 @query("SELECT provider, floor(epoch(ts) / 3600)::BIGINT AS hour, count(*) AS calls FROM (SELECT event_type AS provider, ts FROM events) GROUP BY ALL")
 def hourly_calls(spark, sf_dir):
     """Tumbling windows over the call log; the same plan runs on a stream with a watermark."""
-    rows = calls(spark, sf_dir).groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "provider").agg(F.count("*").alias("calls"))
-    return rows.select("provider", F.floor(F.unix_timestamp("w.start") / 3600).cast("long").alias("hour"), "calls")
+    rows = calls(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "provider").agg(F.count("*").alias("calls"))
+    return rows.select("provider", F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '1970-01-01 00:00:00', w.start)").alias("hour"), "calls")
 
 
 
