@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share; where the session has none (tests), a folder of its own."""
+    """The folder named in spark.checkpoint.dir, which all executors share, with its file system; where the session has none (tests), a folder of its own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
