@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +36,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Caches of Python workers by name. Workers outlive a stage and serve the next one, whose memory must not hold the last one's words.
+CACHES: dict[str, dict] = {}
+
+
+def only(name: str = "") -> None:
+    """Empties all caches of this worker but one and gives their memory back to the system."""
+    full = [cache for k, cache in CACHES.items() if k != name and cache]
+    for cache in full:
+        cache.clear()
+    if full:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 

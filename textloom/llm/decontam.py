@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, text_or_empty
+from .common import CACHES, only, scratch, small_batches, text_or_empty
 from .tokens import open_path
 
 WINDOW = 10
@@ -133,7 +133,7 @@ def write_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[s
     return paths
 
 
-_blocks: dict[tuple[str, int], Block] = {}
+_blocks: dict[tuple[str, int], Block] = CACHES.setdefault("blocks", {})
 
 
 def _block(path: str, window: int) -> Block:
@@ -157,6 +157,7 @@ def matcher(benchmark: DataFrame, window: int = WINDOW):
 
     @F.pandas_udf(f"struct<{', '.join(x.strip().replace(' ', ':') for x in MATCH.split(','))}>")
     def match(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only("blocks")
         for part in parts:
             rows, texts, i = [], part.tolist(), 0
             while i < len(texts):

@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from .common import CACHES, only
+
 #: White space but for the space and the newline.
 _ODD = re.compile(r"[^\S \n]")
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -104,11 +106,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = CACHES.setdefault("encoders", {})
 
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker and file."""
+    only("encoders")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

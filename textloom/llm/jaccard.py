@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save, small_batches, text_or_empty
+from .common import components, only, save, small_batches, text_or_empty
 
 #: Shingles that more prefixes hold count as common, the most common COMMON_MOST of them at least. Any choice gives the same links.
 COMMON, COMMON_MOST = 12, 200_000
@@ -129,6 +129,7 @@ def set_table(docs: DataFrame, k: int, percent: int, common: list[int]) -> DataF
 
     @F.pandas_udf("struct<n_shingles:bigint, digest:binary, prefix:array<bigint>>")
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only()
         for part in parts:
             rows = []
             for h in shingles(part.tolist(), k):
@@ -145,6 +146,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
     @F.pandas_udf("binary")
     def packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only()
         for part in parts:
             yield pd.Series([h.tobytes() for h in shingles(part.tolist(), k)], dtype=object)
 
@@ -280,6 +282,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
     @F.pandas_udf("binary")
     def signed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only()
         for part in parts:
             yield pd.Series([b.tobytes() for b in bitmaps(shingles(part.tolist(), k))], dtype=object)
 
