@@ -30,10 +30,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python in batches of so many rows at most, unless the session has a setting of its own: long texts make large batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+    """Texts go to Python in batches of so many rows and 8 MB at most, unless the session has settings of its own: long texts make large batches."""
+    for key, usual, small in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, small)
 
 
 #: Caches of Python workers by name. Workers outlive a stage and serve the next one, whose memory must not hold the last one's words.
@@ -46,10 +47,15 @@ def only(name: str = "") -> None:
     for cache in full:
         cache.clear()
     if full:
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
-        if trim:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task holds little."""
+    gc.collect()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if give:
+        give(0)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, only, scratch, small_batches, text_or_empty
+from .common import CACHES, only, scratch, small_batches, text_or_empty, trim
 from .tokens import open_path
 
 WINDOW = 10
@@ -188,6 +188,7 @@ def matcher(benchmark: DataFrame, window: int = WINDOW):
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in MATCH.split(",")])
             out["longest_at"] = out["longest_at"].astype("Int64")
             yield out
+        trim()
 
     return match
 

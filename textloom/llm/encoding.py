@@ -24,11 +24,11 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts before a lone space and around a lone newline that stand between
     characters that aren't white space, so the ids of a text are those of its words in turn. Words are kept with their ids
-    (up to max_words, some 300 MB, then the cache starts anew); a text with other white space is encoded in one piece. Strings of
+    (up to max_words, some 240 MB, then the cache starts anew); a text with other white space is encoded in one piece. Strings of
     special tokens in a text count as ordinary text: a document can't forge a control token.
     """
 
-    def __init__(self, path: str, max_words: int = 1_500_000):
+    def __init__(self, path: str, max_words: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, only, save, small_batches, text_or_empty
+from .common import components, only, save, small_batches, text_or_empty, trim
 
 #: Shingles that more prefixes hold count as common, the most common COMMON_MOST of them at least. Any choice gives the same links.
 COMMON, COMMON_MOST = 12, 200_000
@@ -132,9 +132,10 @@ def set_table(docs: DataFrame, k: int, percent: int, common: list[int]) -> DataF
         only()
         for part in parts:
             rows = []
-            for h in shingles(part.tolist(), k):
-                rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), _prefix(h, percent, held.value).view(np.int64)))
+            for h in shingles(part.tolist(), k):  # a prefix is copied, for a view would hold the whole set
+                rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), _prefix(h, percent, held.value).view(np.int64).copy()))
             yield pd.DataFrame(rows, columns=["n_shingles", "digest", "prefix"])
+        trim()
 
     return docs.select(F.col("doc_id"), sets(text_or_empty()).alias("s")).select("doc_id", "s.*")
 
@@ -149,6 +150,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
         only()
         for part in parts:
             yield pd.Series([h.tobytes() for h in shingles(part.tolist(), k)], dtype=object)
+        trim()
 
     @F.pandas_udf("boolean")
     def enough(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -285,6 +287,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
         only()
         for part in parts:
             yield pd.Series([b.tobytes() for b in bitmaps(shingles(part.tolist(), k))], dtype=object)
+        trim()
 
     marks = save(docs.select("doc_id", text_or_empty().alias("text")).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), signed("text").alias("bits")), "jaccard-marks")
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, small_batches, text_or_empty
+from .common import only, small_batches, text_or_empty, trim
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and characters of a text in it.
@@ -278,6 +278,7 @@ def scorer(spark, model: Model):
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         only()
         yield from score_texts(held.value, parts)
+        trim()
 
     return score
 
