@@ -234,9 +234,16 @@ def match_spans(text: Column, pattern: str) -> Column:
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of two texts' multisets of letter and digit tokens, lower-cased; 0 if either has none."""
-    words = lambda c: F.regexp_extract_all(F.lower(plain_text(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    x, y = words(a), words(b)
-    n = lambda arr, w: F.size(F.filter(arr, lambda z: z == w))
-    both = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(n(x, w), n(y, w)))
-    return F.when(both == 0, F.lit(0.0)).otherwise(2.0 * both / (F.size(x) + F.size(y)))
+    """F1 of two texts' multisets of letter and digit tokens, lower-cased; 0 if either has none.
+
+    Each text's tokens are sorted once and bound to a lambda's variable, for an expression within a lambda runs again for each
+    element. Equal tokens are told apart by their place among themselves, so that a set intersection counts multisets.
+    """
+    words = lambda c: F.array_sort(F.regexp_extract_all(F.lower(plain_text(c)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    told = lambda xs: F.transform(xs, lambda w, i: F.struct(w.alias("w"), (i - F.array_position(xs, w)).alias("k")))
+
+    def f1(s: Column) -> Column:
+        both = F.size(F.array_intersect(told(s["x"]), told(s["y"])))
+        return F.when(both == 0, F.lit(0.0)).otherwise(2.0 * both / (F.size(s["x"]) + F.size(s["y"])))
+
+    return F.get(F.transform(F.array(F.struct(words(a).alias("x"), words(b).alias("y"))), f1), F.lit(0))
