@@ -262,7 +262,8 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     real = table.where("doc_id IS NOT NULL AND n_shingles > 0")
     equal = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-equal")
     members = save(real.join(equal, "digest").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("prefix")).alias("prefix")), "jaccard-members")
-    keys = members.where("doc_id = rep").select("rep", "n_shingles", F.size("prefix").alias("p"), F.explode("prefix").alias("key")).distinct()
+    # Repeated rows go before the prefixes are laid out, where they are few.
+    keys = members.where("doc_id = rep").select("rep", "n_shingles", "prefix").dropDuplicates().select("rep", "n_shingles", F.size("prefix").alias("p"), F.explode("prefix").alias("key"))
     buckets = save(keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"), "jaccard-buckets")
     shared = save(keys.join(buckets, "key"), "jaccard-shared")
     # Each representative meets the head that most of its buckets have.
