@@ -7,18 +7,18 @@ from textloom.operators import integrity, stages
 from textloom.sources import config
 
 CASES = [
-    ("Onze pomp levert 450 m³/h bij 80 meter.", "Unsere Pumpe fördert 450 m³/h bei 80 Metern.", "de-DE", []),
-    ("Onze pomp levert 450 m³/h bij 80 meter.", "Unsere Pumpe fördert 540 m³/h bei 80 Metern.", "de-DE", ["INTEGRITY-ENTITY"] * 2),
-    ("Onze pomp levert 450 m³/h bij 80 meter.", "Unsere Pumpe fördert 450 m³/s bei 80 Metern.", "de-DE", ["INTEGRITY-ENTITY"]),
-    ("Pomp N-3085.", "Pumpe N-3058.", "de-DE", ["INTEGRITY-ENTITY"]),
+    ("Deze machine geeft 450 m³/h op 80 meter.", "Diese Maschine liefert 450 m³/h auf 80 Metern.", "de-DE", []),
+    ("Deze machine geeft 450 m³/h op 80 meter.", "Diese Maschine liefert 540 m³/h auf 80 Metern.", "de-DE", ["INTEGRITY-ENTITY"] * 2),
+    ("Deze machine geeft 450 m³/h op 80 meter.", "Diese Maschine liefert 450 m³/s auf 80 Metern.", "de-DE", ["INTEGRITY-ENTITY"]),
+    ("Pomp K-4471.", "Pumpe K-4417.", "de-DE", ["INTEGRITY-ENTITY"]),
     ("Prijs € 1.250,00 excl.", "Price €1,250.00 excl.", "en-GB", []),
     ("Prijs 1.250 euro.", "Price 1.250 euro.", "en-GB", ["INTEGRITY-ENTITY"] * 2),
     ("Zie https://www.example.nl/pompen nu.", "Siehe https://www.example.de/pumpen nun.", "de-DE", ["INTEGRITY-URL"]),
     ("Mail naar info@example.nl", "Mail an info@beispiel.de", "de-DE", ["INTEGRITY-EMAIL"]),
-    ("Bel 020 123 4567.", "Rufen Sie 020 123 4568 an.", "de-DE", ["INTEGRITY-ENTITY"]),
-    ("Levering in heel Nederland.", "Delivery across the Netherlands.", "en-GB", ["INTEGRITY-MARKET-CLAIM"]),
+    ("Bel 020 765 4321.", "Wählen Sie 020 765 4322.", "de-DE", ["INTEGRITY-ENTITY"]),
+    ("Bezorging door heel Nederland.", "Shipping across the Netherlands.", "en-GB", ["INTEGRITY-MARKET-CLAIM"]),
     ("Prijs € 1.250,00", "Preis € 1.250,00", "de-CH", ["FORMAT-CURRENCY"]),
-    ("Onze pompen zijn robuust.", "Unsere Geräte sind robust.", "de-DE", ["TERM-GLOSSARY-01"]),
+    ("Alle pompen zijn sterk.", "Alle Geräte sind stark.", "de-DE", ["TERM-GLOSSARY-01"]),
 ]
 TERMS = {"T1": {"nl": ("pompen",), "de-DE": ("Pumpe", "Kreiselpumpe")}}
 
