@@ -161,3 +161,41 @@ def test_components(spark):
     got = {x.id: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for x in up if any(a != b and x in (a, b) for a, b in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_lines_with_more_edits(frame, monkeypatch):
+    """Lines near by a fifth of the longer one's words, against all pairs."""
+    r = random.Random(5)
+    made = []
+    for _ in range(25):
+        base = [r.choice(["the", "of", *(f"w{k}" for k in range(60))]) for _ in range(r.choice([5, 9, 10, 14, 20, 33, 60]))]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randint(0, len(base) // 5 + 2)):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice([[], [r.choice("xyz")], [w[at], r.choice("xyz")]])
+            made.append(" ".join(w))
+    r.shuffle(made)
+    rows = [(i, "\n".join(made[i::30])) for i in range(30)]
+    want, seen = {}, []
+    for i, text in rows:
+        for n, line in enumerate(text.split("\n")):
+            w = line.split(" ")
+            for j, m, v in seen:
+                if w == v or min(len(w), len(v)) >= 5 and word_edits(w, v) <= max(len(w), len(v)) // 5:
+                    want[i, n] = (j, m)
+                    break
+            seen.append((i, n, w))
+    got = {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in lines.duplicate_lines(frame(rows), lines.a_fifth).collect()}
+    assert got == want and len(want) > 40
+    monkeypatch.setattr(lines, "FEW", 3)  # keys of very many lines give the same
+    assert got == {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in lines.duplicate_lines(frame(rows), lines.a_fifth).collect()}

@@ -42,7 +42,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.duplicate_lines(_table(spark, sf_dir, "documents")).drop("dh")
+    return lines.duplicate_lines(_table(spark, sf_dir, "documents"), lines.a_fifth).drop("dh")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
