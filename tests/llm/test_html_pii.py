@@ -116,3 +116,10 @@ def test_trees_learn_formats(spark):
     got = c.select("label", "kind", model.column(F.col("c.f")).alias("p")).collect()
     picked = [r for r in got if r.p >= model.thresholds[r.kind]]
     assert sum(r.label for r in picked) >= 0.95 * len(picked) and sum(r.label for r in picked) >= 0.9 * sum(r.label for r in got)
+
+
+def test_all_articles_of_a_page(spark):
+    page = lambda i: f"<body><div><article id='post-{i}'><p>First text {i}.</p></article><article id='post-{i + 1}'><p>Second, longer text {i * 3}.</p><article class='part'><p>Part.</p></article></article><article class='comment'>I say</article></div></body>"
+    df = spark.createDataFrame([(i, f"http://{'one' if i < 4 else f'h{i}'}.example/", page(i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(df).collect()}
+    assert got == {i: f"First text {i}.\nSecond, longer text {i * 3}.\nPart." for i in range(6)}
