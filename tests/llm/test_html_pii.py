@@ -123,3 +123,14 @@ def test_all_articles_of_a_page(spark):
     df = spark.createDataFrame([(i, f"http://{'one' if i < 4 else f'h{i}'}.example/", page(i)) for i in range(6)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_main.extract(df).collect()}
     assert got == {i: f"First text {i}.\nSecond, longer text {i * 3}.\nPart." for i in range(6)}
+
+
+def test_template_beyond_the_sample(spark):
+    """A legal block after more blocks than are aligned, and two layouts on one host of which the sample sees one."""
+    body = lambda i: "".join(f"<p>Text {i} {j}</p>" for j in range(100))
+    flat = lambda i: f"<body>{body(i)}<p>All rights <b>reserved</b></p></body>"
+    other = lambda i: f"<body><div class='wrap'><div class='story'><p>Story {i} is told at some length.</p></div><div class='fine'>Fine print of the other layout</div></div></body>"
+    rows = [(i, f"http://a.example/{i}", flat(i)) for i in range(60)] + [(100 + i, f"http://a.example/o{i}", other(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "\n".join(f"Text {i} {j}" for j in range(100)) for i in range(60))
+    assert [got[100 + i] for i in range(4)] == [f"Story {i} is told at some length." for i in range(4)]
