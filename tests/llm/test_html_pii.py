@@ -119,10 +119,10 @@ def test_trees_learn_formats(spark):
 
 
 def test_all_articles_of_a_page(spark):
-    page = lambda i: f"<body><div><article id='post-{i}'><p>First text {i}.</p></article><article id='post-{i + 1}'><p>Second, longer text {i * 3}.</p><article class='part'><p>Part.</p></article></article><article class='comment'>I say</article></div></body>"
+    page = lambda i: f"<body><div><article id='post-{i}'><p>First text {i}.</p></article><article id='post-{i + 1}'><p>Second, longer text {i * 3}.</p><article class='part'><p>Part {i}.</p></article></article><article class='comment'>I say</article></div></body>"
     df = spark.createDataFrame([(i, f"http://{'one' if i < 4 else f'h{i}'}.example/", page(i)) for i in range(6)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_main.extract(df).collect()}
-    assert got == {i: f"First text {i}.\nSecond, longer text {i * 3}.\nPart." for i in range(6)}
+    assert got == {i: f"First text {i}.\nSecond, longer text {i * 3}.\nPart {i}." for i in range(6)}
 
 
 def test_template_beyond_the_sample(spark):
@@ -134,3 +134,11 @@ def test_template_beyond_the_sample(spark):
     got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == "\n".join(f"Text {i} {j}" for j in range(100)) for i in range(60))
     assert [got[100 + i] for i in range(4)] == [f"Story {i} is told at some length." for i in range(4)]
+
+
+def test_template_within_article(spark):
+    page = lambda i: f"<body><main><p>Get our letter <a href='/'>here</a></p><article><h1>Title {i}</h1><p>Note: <b>text {i}</b></p><p>Same on some {i % 2}</p><div>All rights reserved</div></article></main></body>"
+    df = spark.createDataFrame([(i, f"http://{'many' if i < 12 else 'few'}.example/", page(i)) for i in range(15)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(df).collect()}
+    assert [got[i] for i in range(12)] == [f"Title {i}\nNote: text {i}\nSame on some {i % 2}" for i in range(12)]
+    assert all(got[i].endswith("All rights reserved") for i in (12, 13, 14))  # too few pages to tell
