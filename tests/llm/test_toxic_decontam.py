@@ -98,3 +98,18 @@ def test_scores_do_not_depend_on_neighbours():
 
     alone = np.concatenate([next(iter(toxic.score_texts(model, iter([pd.Series([t])])))) for t in texts[:5]])
     assert np.allclose(np.concatenate(list(toxic.score_texts(model, iter([pd.Series(texts)]))))[:5], alone, atol=1e-6)
+
+
+def test_thresholds_on_all_labelled_rows(spark, frame, monkeypatch):
+    """Rows beyond the fitting sample, by number and by length, count for thresholds."""
+    monkeypatch.setattr(toxic, "SAMPLE_TOXIC", 20)
+    monkeypatch.setattr(toxic, "SAMPLE_CLEAN", 20)
+    n = 150
+    docs = frame([(i, ("vile words " if i % 2 else "kind words ") * (3 if i < 100 else 2500)) for i in range(n)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+    folds = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = toxic.fit(*toxic.sample(docs, labels))
+    counts = toxic.histogram(model, docs, labels)
+    assert sum(r.toxic for r in counts) == sum(i % 2 for i in folds) and sum(r.clean for r in counts) == sum(1 - i % 2 for i in folds)
+    rows = toxic.score_documents(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows)

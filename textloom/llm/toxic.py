@@ -2,8 +2,8 @@
 
 A word is the sum of hashed embeddings of the word and of its first four letters, each under two hash functions, so that a
 word that meets a toxic one in one table doesn't meet it in the other. Filters of widths 1, 2 and 3 run over the whole text, each
-keeps its largest response (max pooling), and a linear layer gives a logit. Thresholds are calibrated by language, which is
-guessed from the text's own frequent words; the score maps the language's threshold to 0.7.
+keeps its largest response (max pooling), and a linear layer gives a logit. Thresholds are set by language, which is guessed
+from the text's own frequent words, on all labelled texts of the training folds; the score maps the language's threshold to 0.7.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, small_batches, text_or_empty, trim
+from .common import only, save, small_batches, text_or_empty, trim
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and characters of a text in it.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 5000, 20_000
 THRESHOLD = 0.7
+#: Bins of logits to a unit, and the largest logit told apart, when thresholds are set; labels that are broadcast at most.
+BINS, FAR, BROADCAST_ROWS = 64, 200, 1_000_000
 #: Slope of a filter's response below zero.
 LEAK = 0.1
 #: Texts of the sample that a word must be in to count.
@@ -214,13 +216,19 @@ def _calibrate(model: Model, logits: np.ndarray, y: np.ndarray, langs: np.ndarra
     model.scale = float(3.0 / max(spread, 1e-3))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the training folds, crc32(doc_id as text) mod 3 not 1; of rows with the same doc_id the largest label counts."""
+    rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    return rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     """Labelled texts of the training folds, crc32(doc_id as text) mod 3 not 1: the first SAMPLE_TOXIC and SAMPLE_CLEAN by the hash of doc_id.
 
     Rows with a null label or doc_id are left out; of rows with the same doc_id the largest label counts. The broadcast
     list of identifiers is bounded by those two numbers.
     """
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known_labels(labels)
     h = F.xxhash64("doc_id")
     pick = known.where("toxic > 0").orderBy(h, "doc_id").limit(SAMPLE_TOXIC).unionByName(known.where("toxic <= 0").orderBy(h, "doc_id").limit(SAMPLE_CLEAN))
     rows = docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).collect()
@@ -228,8 +236,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
 
 
-def score_texts(model: Model, parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Scores of whole texts. Each word is looked up once and kept, up to a limit, with what every filter tap makes of it."""
+def score_texts(model: Model, parts: Iterator[pd.Series], raw: bool = False) -> Iterator[pd.Series | pd.DataFrame]:
+    """Scores of whole texts; raw: their languages and bins of logits instead. Each word is looked up once and kept, up to a limit, with what every filter tap makes of it."""
     taps = np.concatenate([f for f in model.F], 0)  # one for each place in each width: (places, DIM, FILTERS)
     words, known = Words(), 0
     # Room for the limit and for what one group may add beyond it, taken once.
@@ -266,8 +274,12 @@ def score_texts(model: Model, parts: Iterator[pd.Series]) -> Iterator[pd.Series]
                     pooled[:, k * FILTERS + f] = np.maximum.reduceat(r, starts)
                 tap += w
             langs = np.array([language(votes[g]) for g in group], int)
-            out.append(model.score(model.logits(pooled + model.b), langs))
-        yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            logits = model.logits(pooled + model.b)
+            out.append(np.stack([langs, np.rint(np.clip(logits, -FAR, FAR) * BINS)], 1) if raw else model.score(logits, langs))
+        if raw:
+            yield pd.DataFrame(np.concatenate(out or [np.zeros((0, 2))]).astype(np.int32), columns=["lang", "bin"])
+        else:
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
 
 def scorer(spark, model: Model):
@@ -283,8 +295,51 @@ def scorer(spark, model: Model):
     return score
 
 
+def histogram(model: Model, docs: DataFrame, labels: DataFrame) -> list:
+    """(lang, bin, toxic, clean): rows by language, bin of logit and label, of all labelled texts of the training folds; 2 * FAR * BINS + 1 bins a language at most."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("struct<lang: int, bin: int>")
+    def place(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only()
+        yield from score_texts(held.value, parts, raw=True)
+        trim()
+
+    known = save(known_labels(labels), "toxic-labels")
+    # Up to so many labels go to all executors, so that texts aren't shuffled.
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(known, "doc_id").select(place("text").alias("p"), (F.col("toxic") > 0).alias("t"))
+    return rows.groupBy("p.lang", "p.bin").agg(F.count_if("t").alias("toxic"), F.count_if(~F.col("t")).alias("clean")).collect()
+
+
+def set_thresholds(model: Model, counts: list) -> None:
+    """As _calibrate(), from a histogram of all labelled rows. Without rows of both classes nothing changes."""
+    table = np.array(sorted((r.bin, r.lang, r.toxic, r.clean) for r in counts), float).reshape(-1, 4)
+
+    def best(t: np.ndarray) -> float:
+        z, at = np.unique(t[:, 0], return_inverse=True)
+        toxic, clean = (np.bincount(at, t[:, k], len(z)) for k in (2, 3))
+        wrong = np.concatenate([[0], np.cumsum(toxic)]) + (clean.sum() - np.concatenate([[0], np.cumsum(clean)]))
+        z = z / BINS
+        cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+        gap = np.concatenate([[0], z[1:] - z[:-1], [0]])
+        least = np.flatnonzero(wrong == wrong.min())
+        return float(cuts[least[gap[least].argmax()]])
+
+    if not table[:, 2].sum() or not table[:, 3].sum():
+        return
+    every = best(table)
+    for k in range(len(LANGS)):
+        own = table[table[:, 1] == k]
+        model.shift[k] = best(own) if min(own[:, 2].sum(), own[:, 3].sum()) >= 20 else every
+    spread = np.average(np.abs(table[:, 0] / BINS - every), weights=table[:, 2] + table[:, 3])
+    model.scale = float(3.0 / max(spread, 1e-3))
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*sample(docs, labels))
+    model = fit(*sample(docs, labels))
+    set_thresholds(model, histogram(model, docs, labels))
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
