@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from textloom.llm import jaccard, lines
 from textloom.llm.common import components
@@ -15,7 +16,7 @@ def one_edit(a, b):
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-def brute_lines(rows):
+def brute_lines(rows, near=one_edit):
     """Of every line the earliest earlier duplicate, by comparing all pairs."""
     seen, out = [], {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
@@ -24,7 +25,7 @@ def brute_lines(rows):
                 continue
             w = line.strip(" ").split(" ")
             for j, m, other, v in seen:
-                if other == line or min(len(w), len(v)) >= 5 and one_edit(w, v):
+                if other == line or min(len(w), len(v)) >= 5 and near(w, v):
                     out[i, n] = (j, m)
                     break
             seen.append((i, n, line, w))
@@ -45,6 +46,38 @@ def test_lines_random(frame):
     assert got == brute_lines(rows)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def fifth_near(a, b):
+    return distance(a, b) <= max(len(a), len(b)) // 5
+
+
+@pytest.mark.parametrize("letters, hot, few", [("abc", 16, 16), ("abcdefghijklmnopqrstuvwxyzäöü", 16, 16), ("abcdefgh", 1, 2)])
+def test_lines_at_a_fifth(frame, monkeypatch, letters, hot, few):
+    """Copies with as many edits as their length allows, on both sides of the bound, short and long, of few and of many words; groups split and not."""
+    r = random.Random(len(letters))
+    rows = []
+    for i in range(150):
+        if i % 5 == 0:
+            base = [r.choice(letters) * r.randint(1, 2) for _ in range(r.choice([5, 6, 9, 10, 14, 19, 20, 21, 24, 25, 26, 29, 30, 45]))]
+        w = list(base)
+        for _ in range(r.randint(0, len(base) // 5 + 1)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = r.choice([[], ["zz"], [r.choice(letters)]])
+        rows.append((i, " ".join(w)))
+    for name, value in (("HOT", hot), ("FEW", few)):
+        monkeypatch.setattr(lines, name, value)
+    got = {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in lines.duplicate_lines(frame(rows), lines.a_fifth).collect()}
+    assert got == brute_lines(rows, fifth_near) and len(got) > 50
+
+
 def test_lines_kept_documents(frame):
     rows = [(1, "keep this line\nand this other line of words"), (2, "keep this line"), (3, "new text\nkeep this line\n\nmore"), (4, None), (5, ""), (6, "and this other row of words")]
     df = frame(rows)

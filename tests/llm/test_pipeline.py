@@ -4,7 +4,7 @@ from textloom.llm import toxic
 
 def test_stages_in_turn(spark, sf, docs):
     """Each stage's rows against a plain computation on the same input."""
-    from test_lines_jaccard import brute_classes, brute_lines
+    from test_lines_jaccard import brute_classes, brute_lines, fifth_near
     from test_toxic_decontam import brute
 
     now, names = docs.where("length(text) < 4000"), []
@@ -16,7 +16,7 @@ def test_stages_in_turn(spark, sf, docs):
             scored = toxic.score_documents(now, spark.read.parquet(f"{sf}/labels.parquet")).collect()
             assert set(left) == {r.doc_id for r in scored if r.predicted == 0}
         elif name == "line_dedup":
-            gone, want = brute_lines(rows), {}
+            gone, want = brute_lines(rows, fifth_near), {}
             for i, t in rows:
                 kept = [x for n, x in enumerate(t.split("\n")) if (i, n) not in gone]
                 if any(x.strip(" ") for x in kept) or not any((i, n) in gone for n in range(len(t.split("\n")))):
