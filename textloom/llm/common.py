@@ -72,18 +72,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return held
 
 
-def drop(*saved: DataFrame) -> None:
-    """Deletes tables of save() of which nothing will be read again, and lets Spark delete the shuffles that made them.
+def drop(*saved: DataFrame, spark: SparkSession) -> None:
+    """Deletes tables of save() of which nothing will be read again, and has Spark delete the shuffles that made saved tables.
 
     Spark deletes a shuffle's files once the driver has collected the plan that wrote it, so it is asked to collect.
     """
-    gc.collect()
     for df in saved:
-        spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    for df in saved[:1]:
-        df.sparkSession._jvm.System.gc()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
