@@ -6,13 +6,18 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share, with its file system; where the session has none (tests), a folder of its own."""
+    """The folder named in spark.checkpoint.dir, which all executors share, with its file system.
+
+    Where the session has none, a local session (tests) gets a folder of its own; on a cluster that is an error, for executors share no local folder.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -20,6 +25,8 @@ def shared_root(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -58,6 +65,18 @@ def trim() -> None:
         give(0)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is run within are deleted as soon as it has run: nothing reads them again. The session's setting is put back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
@@ -66,22 +85,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held._scratch = path
     return held
 
 
-def drop(*saved: DataFrame, spark: SparkSession) -> None:
-    """Deletes tables of save() of which nothing will be read again, and has Spark delete the shuffles that made saved tables.
-
-    Spark deletes a shuffle's files once the driver has collected the plan that wrote it, so it is asked to collect.
-    """
+def drop(*saved: DataFrame) -> None:
+    """Deletes tables of save() of which nothing will be read again."""
     for df in saved:
+        spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -99,12 +115,13 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         if mark == (now.n, now.x) or not now.n:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         mark = (now.n, now.x)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
-        large = save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        last, both = e, e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nearest = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = save(both.where("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
         least = save(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        drop(last, nearest, large, least)
     raise RuntimeError(f"{name}: no fixed point after {max_rounds} rounds")
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, only, save, small_batches, text_or_empty, trim
+from .common import components, drop, only, save, small_batches, text_or_empty, tidy, trim
 
 #: Shingles that more prefixes hold count as common, the most common COMMON_MOST of them at least. Any choice gives the same links.
 COMMON, COMMON_MOST = 12, 200_000
@@ -164,7 +164,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     own = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id", "left_semi")
     held = save(own.dropDuplicates(["doc_id"]).select("doc_id", packed("text").alias("s")), "jaccard-sets")
     both = pairs.join(held.withColumnsRenamed({"doc_id": "a", "s": "x"}), "a").join(held.withColumnsRenamed({"doc_id": "b", "s": "y"}), "b")
-    return save(both.where(enough("x", "y")).select("a", "b"), "jaccard-links")
+    links = save(both.where(enough("x", "y")).select("a", "b"), "jaccard-links")
+    drop(pairs, ids, held)
+    return links
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -257,15 +259,18 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     small_batches(docs.sparkSession)
     first = set_table(docs, k, percent, []).where("doc_id IS NOT NULL")
     counts = first.select(F.explode("prefix").alias("key")).groupBy("key").count().where(F.col("count") > COMMON)
-    common = [r.key for r in counts.orderBy(F.col("count").desc(), "key").limit(COMMON_MOST).collect()]
+    with tidy(docs.sparkSession):
+        common = [r.key for r in counts.orderBy(F.col("count").desc(), "key").limit(COMMON_MOST).collect()]
     table = save(set_table(docs, k, percent, common), "jaccard-table")
     real = table.where("doc_id IS NOT NULL AND n_shingles > 0")
     equal = save(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "jaccard-equal")
     members = save(real.join(equal, "digest").select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("prefix")).alias("prefix")), "jaccard-members")
+    drop(equal)
     # Repeated rows go before the prefixes are laid out, where they are few.
     keys = members.where("doc_id = rep").select("rep", "n_shingles", "prefix").dropDuplicates().select("rep", "n_shingles", F.size("prefix").alias("p"), F.explode("prefix").alias("key"))
     buckets = save(keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"), "jaccard-buckets")
     shared = save(keys.join(buckets, "key"), "jaccard-shared")
+    drop(buckets)
     # Each representative meets the head that most of its buckets have.
     votes = shared.where("rep <> head").groupBy("rep", "p", "head").agg(F.count("*").alias("n"))
     best = votes.where("4 * n >= p").groupBy("rep").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
@@ -274,6 +279,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     # Buckets with several classes left.
     open_ = shared.select("key", "rep", "n_shingles").join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = save(open_, "jaccard-open")
+    drop(shared)
     mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     mixed = save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "jaccard-mixed")
     rest = open_.join(mixed, "key")
@@ -281,6 +287,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     rest = rest.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "rep", "n_shingles", "component")
     rest = save(rest, "jaccard-rest")
+    drop(open_, mixed)
     reps = save(rest.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-rest-ids")
 
     @F.pandas_udf("binary")
@@ -303,6 +310,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     bundles = max(1, rest.count() // BUNDLE_ROWS)
     cells = rest.join(marks, "rep").withColumn("bundle", F.pmod(F.xxhash64("cell"), F.lit(bundles))).groupBy("bundle").applyInPandas(meet, "a long, b long")
     more = _linked(cells, docs, k, percent)
+    drop(rest, reps, marks)
     joined = more.join(classes.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(classes.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
     joined = joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     merged = components(joined, "jaccard-merged")
@@ -310,8 +318,10 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     # A representative's class by two small maps, then every member's.
     found = members.where("doc_id = rep").select("rep").join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     found = save(found.join(top, "component", "left").select("rep", F.coalesce("top", "component").alias("component_id")), "jaccard-found")
+    drop(links, more, classes, top)
     ours = members.select("doc_id", "rep").distinct().join(found, "rep").select("doc_id", "component_id")
     ours = save(ours.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "jaccard-ours")
+    drop(members, found)
     return table.select("doc_id", "n_shingles").join(ours, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
