@@ -101,6 +101,42 @@ def test_index_is_in_order_and_finds_records(spark, tmp_path, monkeypatch):
         assert fields["X-Page-Id"] == f["page_id"] and warc.url_key(fields["WARC-Target-URI"]) == key.replace("%0A", "\n")
 
 
+def test_records_come_by_the_merged_index(spark, tmp_path, monkeypatch):
+    """Rows are those of the index, in its order; a line that is left out takes its record with it, a wrong one is found out."""
+    for name, value in (("RUN_LINES", 5), ("SPARSE", 2), ("FAN_IN", 2), ("READ_LINES", 7)):
+        monkeypatch.setattr(warc, name, value)
+    made = warc.write_archives(pages(spark, ROWS), str(tmp_path))
+    index = warc.merge_index(spark, made, str(tmp_path), shards=3)
+    for shard in index:
+        pieces = list(warc.records_of(shard["path"], str(tmp_path)))
+        facts = [f for piece in pieces for f, _ in piece]
+        assert [json.loads(x.split(" ", 2)[2]) for x in open(shard["path"], encoding="utf-8").read().splitlines()] == facts and max(map(len, pieces)) <= 7
+    assert warc.read_archives(spark, index, str(tmp_path)).count() == len(ROWS)
+    whole = open(index[0]["path"], encoding="utf-8").read().splitlines(True)
+    open(index[0]["path"], "w", encoding="utf-8").writelines(whole[1:])
+    assert warc.read_archives(spark, index, str(tmp_path)).count() == len(ROWS) - 1
+    facts = json.loads(whole[1].split(" ", 2)[2])
+    other = json.loads(whole[2].split(" ", 2)[2])
+    open(index[0]["path"], "w", encoding="utf-8").write("k 1 " + json.dumps(facts | {k: other[k] for k in ("filename", "offset", "length")}) + "\n")
+    with pytest.raises(Exception, match="has another record"):
+        warc.read_archives(spark, index, str(tmp_path)).count()
+
+
+def test_revisits_can_be_resolved(spark, tmp_path):
+    """Revisits name the page, URL and date of their response; rows alike have record ids of their own; a column captured_at means nothing unless named."""
+    rows = [(1, "http://a.example/", "same", "not a time"), (1, "http://a.example/", "same", None), (7, "http://b.example/", "same", "2020-05-06"), (None, "http://c.example/", "same", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, captured_at string")
+    _, index = warc.archive_pages(df, str(tmp_path))
+    got = [warc.parse(c)[0] for s in index for piece in warc.records_of(s["path"], str(tmp_path)) for _, c in piece]
+    assert len({f["WARC-Record-ID"] for f in got}) == 4 and sorted(f["WARC-Type"] for f in got) == ["response"] * 3 + ["revisit"]
+    again = next(f for f in got if f["WARC-Type"] == "revisit")
+    first = next(f for f in got if f["X-Page-Id"] == "1")
+    assert (again["X-Refers-To-Page"], again["WARC-Refers-To-Target-URI"], again["WARC-Refers-To-Date"]) == ("1", "http://a.example/", first["WARC-Date"]) and first["WARC-Date"] == "2024-01-01T00:00:01Z"
+    dated = spark.createDataFrame(rows[2:3], df.schema)
+    _, index = warc.archive_pages(dated, str(tmp_path / "dated"), captured="captured_at")
+    assert [warc.parse(c)[0]["WARC-Date"] for piece in warc.records_of(index[0]["path"], str(tmp_path / "dated")) for _, c in piece] == ["2020-05-06T00:00:00Z"]
+
+
 def test_loser_tree():
     r = random.Random(5)
     for k in range(0, 12):
