@@ -137,6 +137,21 @@ def test_revisits_can_be_resolved(spark, tmp_path):
     assert [warc.parse(c)[0]["WARC-Date"] for piece in warc.records_of(index[0]["path"], str(tmp_path / "dated")) for _, c in piece] == ["2020-05-06T00:00:00Z"]
 
 
+def test_merges_of_many_runs(tmp_path, monkeypatch):
+    """More runs than are merged at a time, whole and by ranges that cut between sparse entries."""
+    for name, value in (("SPARSE", 3), ("FAN_IN", 3)):
+        monkeypatch.setattr(warc, name, value)
+    r = random.Random(8)
+    runs = [sorted((r.choice("abcdefgh"), r.randrange(50), i) for _ in range(r.randrange(1, 30))) for i in range(20)]
+    paths = [str(tmp_path / f"{i}.run") for i in range(20)]
+    for run, path in zip(runs, paths):
+        warc.write_run(run, path)
+    whole = sorted(x for run in runs for x in run)
+    assert list(warc.merge_runs(paths, None, None, str(tmp_path))) == whole
+    parts = [list(warc.merge_runs(paths, low, high, str(tmp_path))) for low, high in ((None, "c"), ("c", "d"), ("d", None))]
+    assert sum(parts, []) == whole and all(parts)
+
+
 def test_loser_tree():
     r = random.Random(5)
     for k in range(0, 12):

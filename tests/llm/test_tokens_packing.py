@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textloom.llm import encoding, packing, tokens
@@ -13,9 +14,7 @@ ODD = [(-5, "one two\nthree"), (3, ""), (7, None), (9, "é" * 5000), (1 << 40, "
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(encoding.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(encoding.tokenizer_path())
 
 
 def expected(rows, plain):
@@ -27,6 +26,20 @@ def expected(rows, plain):
     return out
 
 
+def test_special_tokens_are_those_of_the_library(plain):
+    e = encoding.Encoder(encoding.tokenizer_path())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a <|endoftext b"):
+        assert np.frombuffer(e(text), e.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_shards_are_bounded_by_bytes(spark, docs, plain, tmp_path):
+    docs = docs.select("doc_id", F.explode(F.array(*(F.col("text") for _ in range(20)))).alias("text"))
+    made = tokens.write_shards(docs, str(tmp_path), encoding.tokenizer_path(), shard_bytes=1)
+    got = sorted(tuple(r)[:4] for r in tokens.read_shards(spark, made).collect())
+    assert len(made) > 1 + max(s["part"] for s in made) and got == sorted(expected([(r.doc_id, r.text) for r in docs.collect()], plain))
+
+
 def test_encoder_equals_library(plain):
     r, e = random.Random(4), encoding.Encoder(encoding.tokenizer_path(), max_words=50)
     bits = ["a", "B", "é", " ", "\n", "\t", "1", "'s", "  ", "!", "😀", "\r\n", "\x1f", "don't", " ", "​", "\x85", "<|endoftext|>"]
@@ -57,7 +70,7 @@ def test_shards_empty(frame):
 
 
 def test_lookup(spark, docs, tmp_path, plain):
-    shards = tokens.write_shards(docs, str(tmp_path), encoding.tokenizer_path())
+    shards = tokens.write_shards(docs, str(tmp_path), encoding.tokenizer_path(), shard_bytes=1)
     texts = {r.doc_id: r.text for r in docs.collect()}
     for i in list(texts)[::17]:
         assert tokens.lookup(shards, i) == [*plain.encode(texts[i], add_special_tokens=False).ids, 2]

@@ -24,8 +24,8 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts before a lone space and around a lone newline that stand between
     characters that aren't white space, so the ids of a text are those of its words in turn. Words are kept with their ids
-    (up to max_words, some 240 MB, then the cache starts anew); a text with other white space is encoded in one piece. Strings of
-    special tokens in a text count as ordinary text: a document can't forge a control token.
+    (up to max_words, some 240 MB, then the cache starts anew); a text with other white space or a special token's string, which the
+    library takes for that token, is encoded in one piece.
     """
 
     def __init__(self, path: str, max_words: int = 1_200_000):
@@ -33,7 +33,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_words = max_words
         # Words after a space as they are, after a newline with it, and a text's first with a carriage return, which no word there begins with.
@@ -58,7 +59,7 @@ class Encoder:
             if (ids := same(text)) is not None:
                 split.append(ids)
                 continue
-            if not text or _unsafe(text):
+            if not text or _unsafe(text) or self.special and self.special.search(text):
                 split.append(text and self._ids(text) or b"")
                 continue
             words = f"\r{text}".replace("\n", " \n").split(" ")

@@ -72,6 +72,10 @@ def _probes(key: bytes, hashes: int, bits: int) -> list[int]:
     return [(h + i * step) % bits for i in range(hashes)]
 
 
+#: Compressed bytes after which a shard ends.
+SHARD_BYTES = 256 << 20
+
+
 class TableWriter:
     """Writes one shard to a binary stream; keys must not fall."""
 
@@ -210,23 +214,30 @@ def open_path(path: str, mode: str = "rb"):
     return files.open_output_stream(inner, compression=None)  # a name in .gz is no wish to compress
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[dict]:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Encodes docs (doc_id, text) and writes a shard for each range of doc_id under folder; returns the shards in order.
 
     Null texts count as empty; each document ends with end_id. Rows of equal doc_id stand side by side, ordered by
-    their text's hash. Each attempt of a task writes a file of its own and the list names those of the attempts that
-    counted, so repeated tasks do no harm. The list has one row a shard: its size follows the number of partitions.
+    their text's hash. A shard ends after shard_bytes compressed, so that what a writer holds (keys for the filter, the block index) is bounded
+    however large a range is. Each attempt of a task writes a file of its own and the list names those of the attempts that
+    counted, so repeated tasks do no harm. The list has one row a shard.
     """
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, out, path, tokens, first, last = encoder(tokenizer), None, "", 0, None, None
+        encode, out, made = encoder(tokenizer), None, []
         end = np.array([end_id], encode.dtype).tobytes()
+
+        def close() -> None:
+            out.close()
+            stream.close()
+            made.append((TaskContext.get().partitionId(), len(made), path, out.docs, tokens, first, last))
+
         for part in parts:
             for doc_id, ids in zip(part["doc_id"].tolist(), encode.many(part["text"].tolist()), strict=True):
                 if out is None:
-                    path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
+                    path, tokens, first = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst", 0, None
                     stream = open_path(path, "wb")
                     out = TableWriter(stream, encode.dtype.itemsize)
                 key = key_of(None if doc_id is None or doc_id != doc_id else int(doc_id))
@@ -234,17 +245,19 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 out.add(key, value)
                 tokens += len(value) // encode.dtype.itemsize
                 first, last = first if first is not None else key, key
+                if out.at >= shard_bytes:
+                    close()
+                    out = None
         if out is not None:
-            out.close()
-            stream.close()
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "path": [path], "docs": [out.docs], "tokens": [tokens], "first_key": [first], "last_key": [last]})
+            close()
+        yield pd.DataFrame(made, columns=["part", "n", "path", "docs", "tokens", "first_key", "last_key"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     # Nullable integers reach pandas as floats, which can't hold every long: a string stands for the identifier.
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    made = rows.mapInPandas(write, "part int, path string, docs long, tokens long, first_key binary, last_key binary").collect()
-    return [r.asDict() for r in sorted(made, key=lambda r: r.part)]
+    made = rows.mapInPandas(write, "part int, n int, path string, docs long, tokens long, first_key binary, last_key binary").collect()
+    return [r.asDict() for r in sorted(made, key=lambda r: (r.part, r.n))]
 
 
 def read_shards(spark, shards: list[dict]) -> DataFrame:
