@@ -11,7 +11,7 @@ COLUMNS = {
     "op3_personal_data": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op4_embedding_dedup": "vec_id n_links component_id kept",
     "op5_toxicity": "doc_id held_out score predicted",
-    "op6_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op6_decontamination": "doc_id n_words n_hit n_items items_sha256 longest_words longest_item_id longest_at contaminated",
     "op7_main_text": "page_id url text n_chars",
     "op8_line_dedup": "doc_id line_no kind first_doc_id first_line_no",
     "op9_ngram_jaccard": "doc_id n_shingles component_id",

@@ -1,9 +1,9 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Each shard (the documents of a batch) gets a suffix array: its word positions sorted by the words that follow. Every suffix
-of every benchmark item is searched in it by halves; the equal range gives all its occurrences, and walking on from them the
-longest verbatim match and its place. A suffix that starts with words of which one occurs in no item can't match, so such
-positions stay out of the array.
+of every benchmark item with a window's words left is searched in it by halves; the equal range gives all its occurrences, and walking on
+from them the longest verbatim match and its place. A suffix that starts with words of which one occurs in no item can't match, so
+such positions stay out of the array. Matches shorter than a window aren't looked for.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ class Block:
         self.vocab: dict[bytes, int] = {}
         self.item_ids, self.words, self.tests = [], [], {}
         by_width: dict[int, list[tuple[int, int]]] = {}
-        for item_id, text in items:
+        for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1] or "")):  # the first of equal matches is the least item's
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)], np.int64)
             if len(ids):
                 width = min(window, len(ids))
@@ -101,12 +101,10 @@ def search_shard(ids: np.ndarray, starts: np.ndarray, block: Block) -> tuple[np.
                     go = go[(i + n_go < len(word)) & (found[go] + n_go < len(ids))]
                     go = go[ids[found[go] + n[go]] == word[i + n[go]]]
                     n[go] += 1
-                best = np.lexsort((-found, n))
-                d = docs[best]
-                better = n[best] > longest[d]
-                for q in best[better]:
-                    if n[q] > longest[docs[q]]:
-                        longest[docs[q]], which[docs[q]], where[docs[q]] = n[q], item, found[q] - starts[docs[q]]
+                for q in np.flatnonzero(n >= longest[docs]):
+                    d, m, place = docs[q], n[q], found[q] - starts[docs[q]]
+                    if (-m, item, place) < (-longest[d], which[d], where[d]):
+                        longest[d], which[d], where[d] = m, item, place
     return np.cumsum(hit)[:-1] > 0, items, longest, which, where
 
 
@@ -179,8 +177,8 @@ def matcher(benchmark: DataFrame, window: int = WINDOW):
                     hits |= hit
                     for d, own in found.items():
                         items[d] |= {block.item_ids[k] for k in own if block.item_ids[k] is not None}
-                        if longest[d] > best[d][0]:
-                            best[d] = (int(longest[d]), block.item_ids[which[d]], int(where[d]))
+                        mine = int(longest[d]), block.item_ids[which[d]], int(where[d])
+                        best[d] = min(best[d], mine, key=lambda x: (-x[0], x[1] is None, x[1] or "", x[2] if x[2] is not None else -1))
                 for d, w in enumerate(shard):
                     a = starts[d]
                     ids_of = ",".join(sorted(items[d]))
@@ -198,7 +196,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     A window is window consecutive words of an item, or a shorter item as a whole. A document's word is hit if it lies in
     an occurrence of a window; n_items counts distinct items with occurring windows; longest_* tell the longest verbatim
-    match (the first item and place that has it), null without one. Null texts have no words; items with a null item_id
+    match of at least a window: its words, its item (of several that have it the least as a string, null last) and its first place in the
+    document, in words from 0; 0 and null without one. Null texts have no words; items with a null item_id
     mark hits but aren't listed; repeated items count once; an empty benchmark hits nothing.
     """
     m = docs.select("doc_id", matcher(benchmark, window)(text_or_empty()).alias("m"))

@@ -34,7 +34,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest_words", "longest_item_id", "longest_at")
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +72,14 @@ SELECT nodes.id AS vec_id, (SELECT count(*) FROM links WHERE a = nodes.id) AS n_
     "op6_decontamination": rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW.format('text')}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOW.format('text')}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 k AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
-t AS (SELECT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM k)),
+t AS (SELECT item_id, k, i AS j, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM k)),
 s AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM k) WHERE len(w) >= k)),
-m AS (SELECT doc_id, s.k, i, item_id FROM s JOIN t ON s.k = t.k AND s.win = t.win),
+m AS (SELECT doc_id, s.k, i, j, item_id FROM s JOIN t ON s.k = t.k AND s.win = t.win),
+r AS (SELECT doc_id, item_id::VARCHAR AS id, min(i) - 1 AS p, count(*) + k - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, k, i - j ORDER BY i) AS g FROM m) GROUP BY doc_id, item_id, k, i - j, g),
+l AS (SELECT doc_id, max(n) AS n, first(id ORDER BY n DESC, id, p) AS id, first(p ORDER BY n DESC, id, p) AS p FROM r GROUP BY doc_id),
 h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM m) GROUP BY doc_id),
 g AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(g.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)""",
+SELECT d.doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(g.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(l.n, 0) AS longest_words, l.id AS longest_item_id, l.p AS longest_at, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)""",
     # The tables' pages have one layout, whose article SQL can cut out.
     "op7_main_text": r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
 p AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(t, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS x FROM a)
