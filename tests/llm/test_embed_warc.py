@@ -62,6 +62,17 @@ def test_no_vectors(spark):
     assert run(spark.createDataFrame([(4, None)], "vec_id long, embedding array<float>")) == {4: (0, 4, True)}
 
 
+def test_repeated_and_null_ids(spark):
+    """Equal rows link with each other; of several vectors of one id the same one counts each time; columns that clash with inner names are ignored."""
+    rows = [(1, [1.0, 0.0], 9, "d"), (1, [1.0, 0.0], 9, "d"), (2, [0.0, 1.0], 9, "d"), (2, [1.0, 0.02], 9, "d"), (None, [1.0, 0.0], 9, "d"), (3, [1.0, 0.01], 9, "d")]
+    kind = "vec_id long, embedding array<float>, rep long, d string"
+    seen = {tuple(sorted(map(tuple, embed.near_duplicates(spark.createDataFrame(rows[i:] + rows[:i], kind).repartition(2)).collect()), key=str)) for i in range(3)}
+    assert len(seen) == 1
+    got = {(r[0], *r[1:]) for r in next(iter(seen))}
+    n = {i: links for i, links, _, _ in got}
+    assert n[None] == 0 and n[1] == n[3] + (0 if n[2] else 0) and n[1] in (2, 4) and {(i, c) for i, _, c, _ in got} >= {(1, 1), (3, 1), (None, None)}
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in rows], "page_id long, url string, html string, sha string, date_ string").repartition(3)
 

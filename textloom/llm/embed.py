@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, drop, save
 
 THRESHOLD = 0.95
 #: Rows of the sample on which centroids are fitted, most cells, cells that a vector is compared in, and rows of a block.
@@ -76,7 +76,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
     Two vectors link if the cosine of their components in double precision is at least threshold and one of them has the other's home
     cell among its probes; none links below it. n_links counts rows, equal vectors too. Vectors that are null, empty, zero or hold
     null or non-finite components link with nothing, nor do vectors of different lengths or a null vec_id. component_id is the
-    smallest vec_id reachable by links; kept marks the one row of a group with that id. vec_id is a key.
+    smallest vec_id reachable by links; kept marks the one row of a group with that id. Rows that repeat a vec_id with the same vector
+    are links of each other; of rows that repeat it with other vectors the vector of the least hash counts for all. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -84,11 +85,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
     real = rows.where(sound & F.col("vec_id").isNotNull())
     # Equal vectors: one stands for all. Its squares must not overflow, so the largest component becomes 1 first.
     big = F.array_max(F.transform("e", F.abs))
-    real = real.withColumn("big", big).withColumn("e", F.expr("transform(e, x -> x / big)")).drop("big").withColumn("d", F.sha2(F.to_json("e"), 256))
-    equal = save(real.groupBy("d").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "embed-equal")
-    members = real.join(equal, "d")
-    reps = save(members.where("vec_id = rep").select("rep", "copies", "e").dropDuplicates(["rep"]), "embed-reps")
-    mapping = save(members.select("vec_id", "rep", "copies").dropDuplicates(["vec_id"]), "embed-members")
+    real = real.withColumn("big", big).withColumn("e", F.expr("transform(e, x -> x / big)")).drop("big")
+    real = save(real.withColumn("d", F.struct(F.xxhash64("e"), F.xxhash64(F.lit(1), "e"), F.size("e"))), "embed-real")
+    unclear = save(real.groupBy("vec_id").agg(F.min("d").alias("own"), F.max("d").alias("most")).where("own <> most").select("vec_id", "own"), "embed-unclear")
+    ids = real.select("vec_id", "d").join(unclear, "vec_id", "left").where("own IS NULL OR d = own").drop("own")
+    equal = save(ids.groupBy("d").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "embed-equal")
+    mapping = save(ids.distinct().join(equal, "d").select("vec_id", "rep", "copies"), "embed-members")
+    reps = real.join(equal.withColumnRenamed("rep", "vec_id"), ["vec_id", "d"]).select(F.col("vec_id").alias("rep"), "copies", "e")
+    reps = save(reps.groupBy("rep").agg(F.min("copies").alias("copies"), F.min("e").alias("e")), "embed-reps")
+    drop(real, unclear, equal)
     total = reps.count()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -114,6 +119,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
                 yield pd.DataFrame({"rep": own["rep"], "copies": own["copies"], "dim": dim, "e": [x.tobytes() for x in X], "probes": near.tolist()})
 
     placed = save(reps.mapInPandas(assign, "rep long, copies long, dim int, e binary, probes array<long>"), "embed-cells")
+    drop(reps)
     at_home = placed.groupBy("dim", F.col("probes")[0].alias("cell")).count()
     # A cell's homes are dealt to blocks, its visitors to parts; block b meets part p in a group of its own, so that no task
     # holds a whole cell. Part o of the homes is block o.
@@ -161,6 +167,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
         return pd.DataFrame({"a": [*ids[some].tolist(), *(a for a, _ in forest)], "b": pd.array([*[pd.NA] * len(some), *(b for _, b in forest)], dtype="Int64"), "n": [*links[some].tolist(), *[0] * len(forest)]})
 
     found = save(seen.groupBy("dim", "cell", "block", "part").applyInPandas(meet, "a long, b long, n long"), "embed-found")
+    drop(placed, blocks)
     groups = save(components(found.where("b IS NOT NULL").select("a", "b"), "embed-groups"), "embed-groups")
     degrees = save(found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")), "embed-degrees")
     answer = mapping.join(degrees, "rep", "left").join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
