@@ -27,7 +27,8 @@ def test_run(spark, docs):
     res = {x.target: x for x in e.locale_results(rows).collect()}
     assert res["de-CH"].segments == 4 and res["de-CH"].score == 100
     both = e.compare({"a": rows, "b": rows})
-    assert {x.decided_by for x in e.best(both).collect()} == {"order"}
+    assert {(x.provider, x.decided_by) for x in e.best(both).collect()} == {("a", "order")}
+    assert {(x.provider, x.decided_by) for x in e.best(e.compare({"a": rows, "b": rows}, {"a": 2.0, "b": 1.5})).collect()} == {("b", "cost")}
     with pytest.raises(ValueError):
         e.compare({"a": rows})
 
@@ -82,9 +83,9 @@ def test_sources(spark, tmp_path):
     got = {r.path[-5:]: (r.format, r.text) for r in readers.read_files(spark, str(tmp_path)).collect()}
     assert got["a.txt"] == ("text", "héllo") and got["/b.md"] == ("markdown", "# hé") and got["c.bin"] == (None, None) and got[".docx"] == ("docx", "# Top\n\nText")
     g = tmp_path / "g.csv"
-    g.write_text("term_id,do_not_translate,nl-NL,de-CH\nT1,false,pomp|pompen,Pumpe\nT2,true,Acme,Acme\n", encoding="utf-8")
-    assert readers.glossary(spark, str(g), ("nl-NL", "de-CH")).where("locale = 'nl-NL' AND term_id = 'T1'").count() == 2
-    g.write_text("term_id,do_not_translate,nl-NL\nT1,false,a\nT1,false,b\n", encoding="utf-8")
+    g.write_text("term_id,do_not_translate,nl-NL,de-CH\ncargo,false,bakfiets|bakfietsen,Lastenrad\nmaker,true,Nordlicht,Nordlicht\n", encoding="utf-8")
+    assert readers.glossary(spark, str(g), ("nl-NL", "de-CH")).where("locale = 'nl-NL' AND term_id = 'cargo'").count() == 2
+    g.write_text("term_id,do_not_translate,nl-NL\ncargo,false,a\ncargo,false,b\n", encoding="utf-8")
     with pytest.raises(ValueError):
         readers.glossary(spark, str(g), ("nl-NL",))
 

@@ -6,21 +6,28 @@ from pyspark.sql import functions as F
 from textloom.operators import integrity, stages
 from textloom.sources import config
 
+#: Dutch sources and their targets: a pair that keeps what its rule asks for, then pairs that break it.
 CASES = [
-    ("Deze machine geeft 450 m³/h op 80 meter.", "Diese Maschine liefert 450 m³/h auf 80 Metern.", "de-DE", []),
-    ("Deze machine geeft 450 m³/h op 80 meter.", "Diese Maschine liefert 540 m³/h auf 80 Metern.", "de-DE", ["INTEGRITY-ENTITY"] * 2),
-    ("Deze machine geeft 450 m³/h op 80 meter.", "Diese Maschine liefert 450 m³/s auf 80 Metern.", "de-DE", ["INTEGRITY-ENTITY"]),
-    ("Pomp K-4471.", "Pumpe K-4417.", "de-DE", ["INTEGRITY-ENTITY"]),
-    ("Prijs € 1.250,00 excl.", "Price €1,250.00 excl.", "en-GB", []),
-    ("Prijs 1.250 euro.", "Price 1.250 euro.", "en-GB", ["INTEGRITY-ENTITY"] * 2),
-    ("Zie https://www.example.nl/pompen nu.", "Siehe https://www.example.de/pumpen nun.", "de-DE", ["INTEGRITY-URL"]),
-    ("Mail naar info@example.nl", "Mail an info@beispiel.de", "de-DE", ["INTEGRITY-EMAIL"]),
-    ("Bel 020 765 4321.", "Wählen Sie 020 765 4322.", "de-DE", ["INTEGRITY-ENTITY"]),
-    ("Bezorging door heel Nederland.", "Shipping across the Netherlands.", "en-GB", ["INTEGRITY-MARKET-CLAIM"]),
-    ("Prijs € 1.250,00", "Preis € 1.250,00", "de-CH", ["FORMAT-CURRENCY"]),
-    ("Alle pompen zijn sterk.", "Alle Geräte sind stark.", "de-DE", ["TERM-GLOSSARY-01"]),
+    # figures, their units and their money
+    ("Brood van 800 g voor 3,40 euro", "Bread, 800 g, for 3.40 euro", "en-GB", []),
+    ("Brood van 800 g", "Bread, 900 g", "en-GB", ["INTEGRITY-ENTITY", "INTEGRITY-ENTITY"]),
+    ("Brood van 800 g", "Bread, 800 kg", "en-GB", ["INTEGRITY-ENTITY"]),
+    ("Twee dozen van 12", "Two boxes", "en-GB", ["INTEGRITY-ENTITY"]),
+    ("Kaartje EUR 9", "Ticket GBP 9", "en-NL", ["FORMAT-CURRENCY", "INTEGRITY-ENTITY"]),
+    # codes, numbers to call, addresses
+    ("Fiets RX-900 in voorraad", "Fahrrad RX-900 auf Lager", "de-AT", []),
+    ("Fiets RX-900 in voorraad", "Fahrrad RX-090 auf Lager", "de-AT", ["INTEGRITY-ENTITY"]),
+    ("Atelier: +32 2 555 01 99 88", "Atelier: +32 2 555 01 99 89", "de-AT", ["INTEGRITY-ENTITY"]),
+    ("Kaart: www.kaart.example/gent", "Karte: www.kaart.example/wien", "de-AT", ["INTEGRITY-URL"]),
+    ("Schrijf balie@bieb.example", "Scrivi a banco@bieb.example", "it-IT", ["INTEGRITY-EMAIL"]),
+    # claims, money's form, terms
+    ("Verzending naar Nederland op zaterdag", "Dispatch to the Netherlands on Saturday", "en-GB", ["INTEGRITY-MARKET-CLAIM"]),
+    ("Verzending op zaterdag", "Dispatch on Saturday", "en-GB", []),
+    ("Kost € 2.600,00", "Kostet € 2.600,00", "de-CH", ["FORMAT-CURRENCY"]),
+    ("Een bakfiets huren", "Ein Rad mieten", "de-AT", ["TERM-GLOSSARY-01"]),
+    ("Een bakfiets huren", "Ein Lastenrad mieten", "de-AT", []),
 ]
-TERMS = {"T1": {"nl": ("pompen",), "de-DE": ("Pumpe", "Kreiselpumpe")}}
+TERMS = {"cargo": {"nl": ("bakfiets",), "de-AT": ("Lastenrad", "Transportrad")}}
 
 
 @pytest.mark.parametrize("source,target,locale,want", CASES)
@@ -29,7 +36,7 @@ def test_integrity(source, target, locale, want):
 
 
 def test_column(spark):
-    df = spark.createDataFrame([("Zie <a1>450</a1>", "Siehe <a1>451</a1>", "nl", "nl-NL", "TRANSLATE_LOCALIZE")], "source_text string, target_text string, source_lang string, page_locale string, operation string")
+    df = spark.createDataFrame([("Kamer <b1>17</b1>", "Zimmer <b1>71</b1>", "nl", "nl-NL", "TRANSLATE_LOCALIZE")], "source_text string, target_text string, source_lang string, page_locale string, operation string")
     df = df.withColumn("findings", F.array().cast(f"array<{integrity.FINDING}>"))
     assert [f.rule for f in integrity.with_integrity(df, "de-DE").first().findings] == ["INTEGRITY-ENTITY"] * 2
     assert integrity.with_integrity(df.withColumn("operation", F.lit("SKIP_IDENTICAL")), "de-DE").first().findings == []

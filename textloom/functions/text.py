@@ -58,6 +58,20 @@ def signature(c: Column) -> Column:
     return F.array_sort(F.transform(inline_tokens(c), name))
 
 
+def nests(c: Column) -> Column:
+    """Whether a text's placeholder pairs nest: each closes the one that was opened last, and none stays open."""
+    found = inline_tokens(c)
+    start = F.struct(F.lit(True).alias("ok"), F.array().cast("array<string>").alias("open"))
+
+    def step(a: Column, t: Column) -> Column:
+        name = F.regexp_replace(t, "[</>]", "")
+        ends = F.struct((a["ok"] & F.get(a["open"], F.lit(0)).eqNullSafe(name)).alias("ok"), F.slice(a["open"], 2, F.size(a["open"]) + 1).alias("open"))
+        begins = F.struct(a["ok"].alias("ok"), F.concat(F.array(name), a["open"]).alias("open"))
+        return F.when(F.contains(t, F.lit("/>")), a).when(F.startswith(t, F.lit("</")), ends).otherwise(begins)
+
+    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda a: a["ok"] & (F.size(a["open"]) == 0))).otherwise(True)
+
+
 def multiset_minus(a: Column, b: Column) -> Column:
     """Elements of sorted multiset a beyond their number in b, each as often as it is over."""
     over = lambda x: F.size(F.filter(a, lambda y: y == x)) - F.size(F.filter(b, lambda y: y == x))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import regex
+import bisect
+
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,103 +19,103 @@ DATE = r"(?<![\p{L}\p{N}_])(\d{1,2})([./-])(\d{1,2})\2(\d{4}|\d{2})(?!\p{N})"
 PHONES = (r"\+\d{1,3}(?:[\s.-]?\(?\d\)?){8,12}", r"\b0(?:[\s.-]?\d){9}\b")
 CODES = (r"\b[A-Z]{1,5}-\d{2,}[A-Z0-9-]*\b", r"\b[A-Z]{2,6}\d{2,}[A-Z0-9-]*\b")
 NUMBER = r"(?<![\p{L}\p{N}_])\d+(?:['’   ]\d{3}(?!\d))*(?:[.,]\d+)*(?:[.,](?:--|[-–—])(?!\d))?"
-_compiled = {k: regex.compile(p) for k, p in (("url", URL), ("email", EMAIL), ("date", DATE), ("number", NUMBER))}
-_PHONES, _CODES = [regex.compile(p) for p in PHONES], [regex.compile(p) for p in CODES]
-_MARKERS = sorted([*((v, k) for k, v in L.CURRENCIES.items()), *((k, k) for k in L.CURRENCIES)], key=lambda m: -len(m[0]))
-_UNITS = sorted(set(L.UNITS), key=len, reverse=True)
+#: What may stand between a number and its marker or unit: one space, of any kind that text setters use.
+GAP = "[ \u00a0\u202f\u2009]"
+
+
+def _any(words, bound: str) -> str:
+    """One of words, the longest that fits; those of letters within bound, where {} stands for the word."""
+    return "(?:" + "|".join((bound if w.isalpha() else "{}").format(regex.escape(w)) for w in sorted(set(words), key=lambda w: (-len(w), w))) + ")"
+
+
+_CURRENCY_OF = {sign: code for code, sign in L.CURRENCIES.items()} | {code: code for code in L.CURRENCIES}
+_UNIT = "(?:" + "|".join(map(regex.escape, sorted(set(L.UNITS), key=lambda u: (-len(u), u)))) + r")(?![\p{L}\p{N}])"
+#: How a number may be written: marks of groups and the decimal mark. Without decimals all groups are parted alike; before a decimal mark any other may part them.
+_ALIKE, _DECIMAL = ("", "[.]", "[,]", f"(?:['’]|{GAP})"), {"[.]": f"(?:[,'’]|{GAP})", "[,]": f"(?:[.'’]|{GAP})"}
+_READINGS = {
+    (group, mark): regex.compile(rf"(?P<whole>{rf'[1-9][0-9]{{0,2}}(?:{group}[0-9]{{3}})+' if group else '[0-9]+'}){rf'(?:{mark}(?:(?P<part>[0-9]+)|--|[-–—]))' if mark else ''}")
+    for group, mark in (*((g, "") for g in _ALIKE), *((g, m) for m, others in _DECIMAL.items() for g in ("", others)))
+}
 
 
 def value_of(raw: str, lang: str) -> str | None:
-    """A number token's canonical digits, or None if its marks contradict each other; the scalar twin of functions.numbers.parse_number."""
-    m = regex.search(r"([.,])(--|[-–—])$", raw)
-    body = raw[: m.start()] if m else raw
-    groups, seps = regex.split(r"\D", body), regex.findall(r"\D", body)
-    if any(not g for g in groups):
+    """A number token's canonical digits, or None if its marks contradict each other; the scalar twin of functions.numbers.parse_number.
+
+    The token is read in every way it may be written in. Where a mark may part groups as well as decimals, the language decides. Digits
+    after a leading zero are a code, not a quantity.
+    """
+    if regex.match("0[0-9]", raw):
+        return None if regex.search("[^0-9][^0-9]|[^0-9]$", raw) and not regex.search(r"[.,](?:--|[-–—])$", raw) else f"#{raw}"
+    found = {(group, mark): m for (group, mark), way in _READINGS.items() if (m := way.fullmatch(raw))}
+    if len(found) > 1:
+        decimal = "[.]" if lang == "en" else "[,]"
+        found = {k: m for k, m in found.items() if (k[1] == decimal if any(mark == decimal for _, mark in found) else not k[1])}
+    if not found:
         return None
-    if len(groups[0]) > 1 and groups[0][0] == "0":
-        return f"#{raw}"
-    marks = [(i, s) for i, s in enumerate(seps) if s in ".,"]
-    at: int | None = None
-    if m:
-        if any(s == m[1] for _, s in marks):
-            return None
-    elif marks:
-        i, s = marks[-1]
-        same = sum(t == s for _, t in marks)
-        end = i == len(seps) - 1
-        if same < len(marks) or len(marks) < len(seps):
-            # Both marks, or one beside apostrophes or spaces: the last parts decimals and must be the last of all.
-            if not end or same != 1 or same == len(marks) and len(marks) != 1:
-                return None
-            at = i
-        elif len(marks) == 1:
-            group = len(groups[i + 1]) == 3 and 1 <= len(groups[i]) <= 3 and groups[i][0] != "0"
-            at = i if not group or s == ("." if lang == "en" else ",") else None
-    whole = groups if at is None else groups[: at + 1]
-    if len(whole) > 1 and not (1 <= len(whole[0]) <= 3 and whole[0] != "0" and all(len(g) == 3 for g in whole[1:])):
-        return None
-    return "".join(whole) + (f".{groups[at + 1]}" if at is not None else "")
+    m = next(iter(found.values()))
+    part = m.groupdict().get("part")
+    return regex.sub("[^0-9]", "", m["whole"]) + (f".{part}" if part else "")
+
+
+def _dated(m, lang: str) -> dict | None:
+    day, month, year = m[1], m[3], m[4]
+    real = 1 <= int(day) <= 31 and 1 <= int(month) <= 12 and (len(year) == 4 or len(day) + len(month) == 4)
+    return {"value": f"{int(day)}.{int(month)}.{year}"} if real else None
+
+
+def _money(m, lang: str) -> dict | None:
+    return {"value": value_of(m["n"], lang), "currency": _CURRENCY_OF[m["sign"]]}
+
+
+def _measured(m, lang: str) -> dict | None:
+    value = value_of(m["n"], lang)
+    return value and {"value": value, "unit": m["unit"], "kind": "unit" if m["unit"] else "number"}
+
+
+def _plain(m, lang: str) -> dict | None:
+    return {}
+
+
+_BEFORE, _BEHIND = (f"(?P<sign>{_any(_CURRENCY_OF, bound)})" for bound in (r"(?<![\p{{L}}\p{{N}}]){}", r"{}(?![\p{{L}}\p{{N}}])"))
+_N = f"(?P<n>(?>{NUMBER}))"
+#: Kinds by rank: name, a character class that a text must have for it, patterns, and what a match says (None: it is none).
+_KINDS = [
+    (name, regex.compile(need), [regex.compile(p) for p in patterns], read)
+    for name, need, patterns, read in (
+        ("url", r"://|www\.", (rf"(?:{URL})(?<![.,;:!?])",), _plain),
+        ("email", "@", (EMAIL,), _plain),
+        ("date", "[0-9]", (DATE,), _dated),
+        ("phone", "[0-9]", PHONES, _plain),
+        ("currency", "[0-9]", (f"{_BEFORE}{GAP}?{_N}", f"{_N}{GAP}?{_BEHIND}"), _money),
+        ("product_code", "[0-9]", CODES, _plain),
+        ("brand", "", (), _plain),
+        ("number", "[0-9]", (rf"{_N}(?:{GAP}?(?P<unit>{_UNIT}))?",), _measured),
+    )
+]
 
 
 def extract(text: str, lang: str = "en", brands: tuple[str, ...] = ()) -> list[dict]:
-    """Entities in order of their places: urls, e-mail addresses, dates, phones, amounts, product codes, brands, then numbers with their units."""
-    taken, found = bytearray(len(text)), []
-
-    def take(kind: str, a: int, z: int, **more) -> None:
-        if z > a and not any(taken[a:z]):
-            taken[a:z] = b"\1" * (z - a)
-            found.append({"kind": kind, "raw": text[a:z], "start": a, "end": z, "value": None, "unit": None, "currency": None} | more)
-
-    if "://" in text or "www." in text:
-        for m in _compiled["url"].finditer(text):
-            take("url", m.start(), m.start() + len(m[0].rstrip(".,;:!?")))
-    if "@" in text:
-        for m in _compiled["email"].finditer(text):
-            take("email", *m.span())
-    if not regex.search(r"\d", text):
-        return _brands(text, brands, take, found)
-    for m in _compiled["date"].finditer(text):
-        d, mo, y = m[1], m[3], m[4]
-        if 1 <= int(d) <= 31 and 1 <= int(mo) <= 12 and (len(y) == 4 or len(d) == len(mo) == 2):
-            take("date", *m.span(), value=f"{int(d)}.{int(mo)}.{y}")
-    for p in _PHONES:
-        for m in p.finditer(text):
-            take("phone", *m.span())
-    numbers = [(m.start(), m.end(), value_of(m[0], lang)) for m in _compiled["number"].finditer(text)]
-    for a, z, v in numbers:
-        for marker, code in _MARKERS:
-            gap = 1 if a and text[a - 1] in "    " else 0
-            head = a - gap - len(marker)
-            if head >= 0 and text[head : a - gap] == marker and not (marker.isalpha() and head and text[head - 1].isalnum()):
-                take("currency", head, z, value=v, currency=code)
-                break
-            gap = 1 if z < len(text) and text[z] in "    " else 0
-            tail = z + gap + len(marker)
-            if text[z + gap : tail] == marker and not (marker.isalpha() and tail < len(text) and text[tail].isalnum()):
-                take("currency", a, tail, value=v, currency=code)
-                break
-    for p in _CODES:
-        for m in p.finditer(text):
-            take("product_code", *m.span())
-    _brands(text, brands, take, found)
-    for a, z, v in numbers:
-        if any(taken[a:z]) or v is None:
-            continue
-        gap = 1 if z < len(text) and text[z] in "    " else 0
-        unit = next((u for u in _UNITS if text.startswith(u, z + gap) and not (text[z + gap + len(u) : z + gap + len(u) + 1].isalnum())), None)
-        if unit:
-            take("unit", a, z + gap + len(unit), value=v, unit=unit)
-        else:
-            take("number", a, z, value=v)
-    return sorted(found, key=lambda e: e["start"])
-
-
-def _brands(text: str, brands: tuple[str, ...], take, found: list) -> list[dict]:
-    for b in sorted(brands, key=len, reverse=True):
-        if b.split()[0] in text:
-            for m in regex.finditer(r"(?<![\p{L}\p{N}_])" + r"\s+".join(map(regex.escape, b.split())) + r"(?![\p{L}\p{N}_])", text):
-                take("brand", *m.span())
-    return sorted(found, key=lambda e: e["start"])
+    """Entities in order of their places: urls, e-mail addresses, dates, phones, amounts, product codes, brands, then numbers with their units.
+
+    All kinds propose spans; of proposals that overlap, that of the earlier kind stands, of a kind the one further left, of brands the longer name's.
+    """
+    proposed = []
+    for rank, (kind, need, patterns, read) in enumerate(_KINDS):
+        if kind == "brand":
+            patterns = [regex.compile(rf"(?<![\p{{L}}\p{{N}}_]){r'\s+'.join(map(regex.escape, b.split()))}(?![\p{{L}}\p{{N}}_])") for b in sorted(brands, key=len, reverse=True)]
+        if patterns and need.search(text):
+            for place, pattern in enumerate(patterns):
+                for m in pattern.finditer(text):
+                    if (more := read(m, lang)) is not None:
+                        proposed.append((rank, place if kind == "brand" else 0, m.start(), place, m.end(), {"kind": kind} | more))
+    starts: list[int] = []
+    kept: list[dict] = []
+    for _, _, a, _, z, more in sorted(proposed, key=lambda p: p[:5]):
+        i = bisect.bisect_left(starts, a)
+        if (i == 0 or kept[i - 1]["end"] <= a) and (i == len(kept) or z <= kept[i]["start"]):
+            starts.insert(i, a)
+            kept.insert(i, {"raw": text[a:z], "start": a, "end": z, "value": None, "unit": None, "currency": None} | more)
+    return kept
 
 
 def entities(text: Column, lang: Column, brands: tuple[str, ...] = ()) -> Column:

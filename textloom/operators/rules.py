@@ -25,7 +25,7 @@ class Rule:
     type: str
     severity: str
     terms: tuple[tuple[str, str | None], ...] = ()
-    keep_case: bool = True
+    keep_case: bool | tuple[bool, ...] = True  # for all terms, or for each
     when_source: str = ""
     unless_source: str = ""
     forbid: tuple[str, ...] = ()
@@ -44,14 +44,42 @@ def _word(p: str) -> str:
 
 
 GERMAN, ENGLISH = ("de-DE", "de-AT", "de-CH"), ("en-NL", "en-GB")
+#: Fixed values of orthography: ß after long vowels and diphthongs (what stands for ss, its spelling, its endings), where ss is never right.
+SHARP_S = (
+    ("aussen", "außen", ""), ("ausser", "außer", "dem halb ordentlich"), ("draussen", "draußen", ""), ("dreissig", "dreißig", ""), ("fleissig", "fleißig", "e en er es em"),
+    ("fuss", "fuß", "es"), ("füsse", "füße", "n"), ("gefäss", "gefäß", "e en es"), ("gemäss", "gemäß", ""), ("giessen", "gießen", ""), ("gross", "groß", "e en er es em"),
+    ("grösse", "größe", "n r"), ("grösst", "größt", "e en er es em"), ("gruss", "gruß", ""), ("grüsse", "grüße", "n"), ("heiss", "heiß", "e en er es em"), ("heissen", "heißen", ""), ("massnahme", "maßnahme", "n"),
+    ("massstab", "maßstab", ""), ("regelmässig", "regelmäßig", "e en er es em"), ("schliessen", "schließen", ""), ("schliesslich", "schließlich", ""), ("schweissen", "schweißen", ""), ("spass", "spaß", ""),
+    ("strasse", "straße", "n"), ("süss", "süß", "e en er es em"), ("weiss", "weiß", "e en er es em"),
+)
+#: Fixed values of British spelling: stems in -our, -re, -ogue, -yse, -ence for -or, -er, -og, -yze, -ense, stems that double their l, and single words.
+OUR = "arb ard arm behavi cand clam col endeav fav ferv flav harb hon hum lab neighb od parl rum sav splend tum val vap vig".split()
+RE = "calib cent fib lit lust meag sab scept somb spect theat".split()
+OGUE, YSE, ENCE = ("anal", "catal", "dial"), ("anal", "catal", "paral"), ("def", "off", "pret")
+DOUBLED = ("cancel", "channel", "dial", "equal", "fuel", "label", "level", "model", "signal", "total", "travel")
+SINGLE = (("gray", "grey"), ("aluminum", "aluminium"), ("plow", "plough"), ("mold", "mould"), ("skeptical", "sceptical"))
+
+
+def _british() -> tuple[tuple[str, str], ...]:
+    any_of = lambda stems: f"({'|'.join(stems)})"
+    return (
+        (_word(f"{any_of(OUR)}or(s|ed|ing|ful|less)?"), "$1our$2"), (_word(f"{any_of(RE)}er(s|ed)?"), "$1re$2"), (_word(f"{any_of(OGUE)}og(s)?"), "$1ogue$2"), (_word(f"{any_of(YSE)}yz(e|es|ed|er|ing)"), "$1ys$2"),
+        (_word(f"{any_of(ENCE)}ense(s)?"), "$1ence$2"), (_word(f"{any_of(DOUBLED)}(ed|ing)"), "$1l$2"), *((_word(us), uk) for us, uk in SINGLE),
+    )
+
+
+def _sharp_s() -> tuple[tuple[str, str], ...]:
+    return tuple((_word(f"{plain}({ends.replace(' ', '|')})?" if ends else plain), f"{right}$1" if ends else right) for plain, right, ends in SHARP_S)
+
+
 #: Rule data. Severity, patterns and replacements are fixed values of the locales' conventions.
 RULES = (
     Rule("DECH-SZ-01", "lexicon", "critical", (("ß", "ss"), ("ẞ", "SS")), keep_case=False, autofix=True, locales=("de-CH",)),
     Rule("DECH-QUOTE-01", "lexicon", "major", ((r'"([^"\n]{1,300})"', "«$1»"), (r"„([^“”\n]{1,300})[“”]", "«$1»")), keep_case=False, autofix=True, locales=("de-CH",)),
     Rule("DE-QUOTE-01", "lexicon", "minor", ((r'"([^"\n]{1,300})"', "„$1“"), (r"«([^»\n]{1,300})»", "„$1“")), keep_case=False, autofix=True, locales=("de-DE", "de-AT")),
-    Rule("DE-SZ-01", "lexicon", "major", ((_word("gross(e|en|er|es|em)?"), "groß$1"), (_word("heiss(e|en|er|es|em)?"), "heiß$1"), (_word("gemäss"), "gemäß"), (_word("Massnahme(n?)"), "Maßnahme$1")), autofix=True, locales=("de-DE", "de-AT")),
+    Rule("DE-SZ-01", "lexicon", "major", _sharp_s(), autofix=True, locales=("de-DE", "de-AT")),
     Rule("DE-DU-01", "lexicon", "major", ((_word("du|dich|dir|dein(?:e|en|em|er|es)?"), None),), locales=GERMAN),
-    Rule("EN-SPELL-01", "lexicon", "minor", ((_word("(col|behavi|lab|fav|hon|flav|neighb|harb|hum)or(s|ed|ing)?"), "$1our$2"), (_word("center(s|ed)?"), "centre$1"), (_word("liter(s?)"), "litre$1"), (_word("gray"), "grey"), (_word("fiber(s?)"), "fibre$1")), autofix=True, locales=ENGLISH),
+    Rule("EN-SPELL-01", "lexicon", "minor", _british(), autofix=True, locales=ENGLISH),
     Rule("EN-TERM-01", "conditional", "minor", when_source=_word("offerte"), forbid=(_word("offer"),), require=(_word("quot(?:e|ation)"),), locales=ENGLISH),
     Rule("INTEGRITY-TAGS", "inline_tags", "critical"),
     Rule("INTEGRITY-EMPTY", "empty_output", "critical"),
@@ -93,14 +121,14 @@ def _once(rule: Rule, bad: Column, text: Column) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), F.array(_finding(rule, F.lit(0), F.length(text), text))).otherwise(_none())
 
 
-def _replaced(rule: Rule, pattern: str, prefer: str | None):
+def _replaced(rule: Rule, pattern: str, prefer: str | None, keep_case: bool):
     """A match as a finding of a lexicon term."""
 
     def one(m: Column) -> Column:
         to = None
         if prefer is not None:
             to = F.regexp_replace(m["match"], pattern, prefer)
-            to = T.match_case(m["match"], to) if rule.keep_case else to
+            to = T.match_case(m["match"], to) if keep_case else to
         return _finding(rule, m["start"], m["end"], m["match"], to)
 
     return one
@@ -114,7 +142,7 @@ def evaluate(rule: Rule, s: dict[str, Column]) -> Column:
     """Findings of a segment rule as an array; s has source, target (plain), words, operation, source_lang, target_lang, translatable, back, back_lang and the placeholder-bearing source_text, target_text."""
     target = s["target"]
     if rule.type == "lexicon":
-        parts = [F.filter(F.transform(T.match_spans(target, pattern), _replaced(rule, pattern, prefer)), lambda f: f["replacement"].isNull() | (f["replacement"] != f["found"])) for pattern, prefer in rule.terms]
+        parts = [F.filter(F.transform(T.match_spans(target, pattern), _replaced(rule, pattern, prefer, keep)), lambda f: f["replacement"].isNull() | (f["replacement"] != f["found"])) for (pattern, prefer), keep in zip(rule.terms, rule.keep_case if isinstance(rule.keep_case, tuple) else [rule.keep_case] * len(rule.terms), strict=True)]
         return F.concat(*parts)
     if rule.type == "conditional":
         trigger = s["source"].rlike(rule.when_source)
@@ -135,7 +163,7 @@ def evaluate(rule: Rule, s: dict[str, Column]) -> Column:
         return F.when(bad, F.array(_finding(rule, F.lit(0), F.length(target), target, F.when(slug != "", slug)))).otherwise(_none())
     if rule.type == "inline_tags":
         a, b = T.signature(s["source_text"]), T.signature(s["target_text"])
-        return _once(rule, a != b, target)
+        return _once(rule, (a != b) | ~T.nests(s["target_text"]), target)
     if rule.type == "empty_output":
         return _once(rule, (F.trim(s["source"]) != "") & (F.trim(target) == ""), target)
     if rule.type == "untranslated":
