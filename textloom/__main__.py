@@ -1,4 +1,4 @@
-"""python -m textloom lint|locales|detect: small jobs from the command line over Parquet files of documents."""
+"""python -m textloom run|locales|detect: small jobs from the command line over Parquet files of documents."""
 
 from __future__ import annotations
 

@@ -33,12 +33,16 @@ def cost_rollup(calls: DataFrame) -> DataFrame:
     return out.withColumn("stage", F.coalesce("stage", F.lit("all")))
 
 
+#: Fixed value: scores and costs this near are equal.
+SAME = 1e-9
+
+
 def best_provider(scores: DataFrame) -> DataFrame:
-    """scores (locale, provider, score, cost, n) to the best provider of each locale: score, then cost, then order; and what decided."""
-    w, same = Window.partitionBy("locale"), Window.partitionBy("locale").orderBy(F.desc("score"), F.asc_nulls_last("cost"), "n")
-    rows = scores.withColumn("top", F.max("score").over(w)).where("score = top")
+    """scores (locale, provider, score, cost, n) to the best provider of each locale: score (equal within SAME), then cost, then order n; and what decided."""
+    w, same = Window.partitionBy("locale"), Window.partitionBy("locale").orderBy(F.asc_nulls_last("cost"), "n")
+    rows = scores.withColumn("top", F.max("score").over(w)).where(F.col("score") >= F.col("top") - SAME)
     rows = rows.withColumn("ties", F.count("*").over(w)).withColumn("rn", F.row_number().over(same)).withColumn("low", F.min("cost").over(w))
-    rows = rows.withColumn("cheap", F.count_if(F.col("cost") == F.col("low")).over(w)).where("rn = 1")
+    rows = rows.withColumn("cheap", F.count_if(F.col("cost") <= F.col("low") + SAME).over(w)).where("rn = 1")
     decided = F.when(F.col("ties") == 1, "score").when(F.col("cheap") == 1, "cost").otherwise("order")
     return rows.select("locale", "provider", "score", "cost", decided.alias("decided_by"), (F.col("ties") - 1).alias("tied"))
 

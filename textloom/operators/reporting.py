@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .segments import first_by, title_head
@@ -30,6 +30,27 @@ def notes(runs: DataFrame, judge: str) -> DataFrame:
     return rows.select("provider", F.explode(F.array_compact(F.array(*(F.when(t, c) for c, t in tests.items())))).alias("code"))
 
 
+#: Documents of neighbouring numbers that are counted together when rows are numbered.
+BLOCK = 10_000
+
+
+def numbered(rows: DataFrame, group: str, doc: str, order: str) -> DataFrame:
+    """rows with n: 1, 2, … within each group, documents in order (a number), a document's rows by order.
+
+    Positions are sums of counts: of the blocks before, of the block's documents before, then the place in the document. No window holds
+    a group's rows, only its blocks, a block's documents or a document's rows.
+    """
+    rows = rows.withColumn("__block", F.floor(F.col(doc) / BLOCK))
+    docs = rows.groupBy(group, "__block", doc).agg(F.count("*").alias("__c"))
+    blocks = docs.groupBy(group, "__block").agg(F.sum("__c").alias("__c"))
+    before = lambda *keys, by: F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(group, "__block", before(group, by="__block").alias("__far"))
+    docs = docs.select(group, "__block", doc, before(group, "__block", by=doc).alias("__near")).join(blocks, [group, "__block"])
+    place = F.row_number().over(Window.partitionBy(group, "__block", doc).orderBy(order))
+    rows = rows.withColumn("__at", place).join(docs, [group, "__block", doc])
+    return rows.withColumn("n", F.col("__far") + F.col("__near") + F.col("__at")).drop("__block", "__far", "__near", "__at")
+
+
 def recommendations(*sources: DataFrame) -> DataFrame:
     """(target, text) of all sources, the first of each text that differs in case and outer space only."""
     out = None

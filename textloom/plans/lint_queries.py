@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import locales as L
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import entities, rules, scoring
+from ..operators import entities, reporting, rules, scoring
 from .registry import SP, query, table
 from .segment_queries import LINES, line_rows
 from .text_queries import _TITLE
@@ -300,13 +300,12 @@ def distinct_reasons(spark, sf_dir):
     return _judged(spark, sf_dir).select("doc_id", F.explode(reasons).alias("reason")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
 
 
-@query(_SWISS + " SELECT 'F-' || lang || '-' || lpad((row_number() OVER (PARTITION BY lang, doc_id ORDER BY ord))::VARCHAR, 4, '0') AS finding_id, doc_id, segment_id FROM v WHERE critical > 0")
+@query(_SWISS + " SELECT 'F-' || lang || '-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS finding_id, doc_id, segment_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, ord) AS n FROM v WHERE critical > 0)")
 def finding_ids(spark, sf_dir):
-    """Findings numbered within each document and locale: the window's key is the document, so no task holds a locale."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy("ord")).cast("string")
-    return _judged(spark, sf_dir).where("critical > 0").select(F.concat(F.lit("F-"), "lang", F.lit("-"), F.lpad(n, 4, "0")).alias("finding_id"), "doc_id", "segment_id")
+    """Findings numbered within each locale, documents in order."""
+    rows = reporting.numbered(_judged(spark, sf_dir).where("critical > 0").select("lang", "doc_id", "ord", "segment_id"), "lang", "doc_id", "ord")
+    n = F.col("n").cast("string")
+    return rows.select(F.concat(F.lit("F-"), "lang", F.lit("-"), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)).alias("finding_id"), "doc_id", "segment_id")
 
 
 @query(_SWISS + " SELECT doc_id, segment_id, critical FROM v WHERE critical > 0 ORDER BY critical DESC, doc_id, ord LIMIT 25")
@@ -325,17 +324,16 @@ def check_notes(spark, sf_dir):
     return rows.select("doc_id", F.when(F.size("h") == 1, F.element_at("h", 1)).otherwise(note).alias("note"))
 
 
-@query(r"""WITH a AS (SELECT item_id, unnest(regexp_extract_all(text, '[\p{L}]+')) AS k FROM benchmark), b AS (SELECT doc_id AS item_id, unnest(regexp_extract_all(text, '[\p{L}]+')) AS k FROM documents),
-x AS (SELECT item_id, k, 1 AS s, 0 AS t FROM a UNION ALL SELECT b.item_id, k, 0, 1 FROM b WHERE b.item_id IN (SELECT item_id FROM benchmark)),
-g AS (SELECT item_id, k, sum(s) AS s, sum(t) AS t FROM x GROUP BY ALL)
-SELECT item_id, sum(greatest(s - t, 0))::BIGINT AS missing, sum(greatest(t - s, 0))::BIGINT AS extra FROM g GROUP BY item_id""")
+@query(r"""WITH x AS (SELECT doc_id, text, replace(text, '7', '8') AS target FROM documents),
+a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS k, 1 AS s, 0 AS t FROM x UNION ALL SELECT doc_id, unnest(regexp_extract_all(target, '[0-9]+')), 0, 1 FROM x),
+g AS (SELECT doc_id, k, sum(s) AS s, sum(t) AS t FROM a GROUP BY ALL)
+SELECT doc_id, sum(greatest(s - t, 0))::BIGINT AS missing, sum(greatest(t - s, 0))::BIGINT AS extra FROM g GROUP BY doc_id""")
 def entity_match(spark, sf_dir):
-    """What a target lost or made up of its source, as multisets of tokens: benchmark items against the documents of the same number."""
-    words = lambda df, k: df.select(F.col(k).alias("item_id"), F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("k"))
-    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    target = docs.join(bench.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
-    g = entities.match_counts(words(bench, "item_id"), words(target, "doc_id"), ["item_id"])
-    return g.groupBy("item_id").agg(F.sum("missing").alias("missing"), F.sum("extra").alias("extra"))
+    """What a target lost or made up of its source's figures, as multisets: each document against a copy whose sevens became eights."""
+    docs = table(spark, sf_dir, "documents")
+    figures = lambda text: docs.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))).alias("k"))
+    g = entities.match_counts(figures(F.col("text")), figures(F.replace("text", F.lit("7"), F.lit("8"))), ["doc_id"])
+    return g.groupBy("doc_id").agg(F.sum("missing").alias("missing"), F.sum("extra").alias("extra"))
 
 
 @query()

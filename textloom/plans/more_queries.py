@@ -207,7 +207,7 @@ def integrity_findings(spark, sf_dir):
 def back_translation(spark, sf_dir):
     """Targets translated back by a provider and held against their sources."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("p-"), F.col("turn").cast("string")).alias("segment_id"), F.col("text").alias("source_text"), F.col("text").alias("target_text"), F.lit("en").alias("source_lang"))
-    back = stages.back_translate(rows, stages.mock_provider())
+    back = stages.back_translate(rows, stages.mock_provider(), "de-CH")
     return back.select("doc_id", "segment_id", T.round_half_up(T.token_f1(F.col("source_text"), F.col("back")), 3).alias("f1"))
 
 
@@ -257,9 +257,9 @@ def job_summary(spark, sf_dir):
     return reporting.job_summary(jobs)
 
 
-@query("SELECT source AS rule, arg_min(substring(text, 1, 30), doc_id) FILTER (doc_id % 3 = 0) AS wrong, arg_min(substring(text, 1, 30), doc_id) FILTER (doc_id % 3 <> 0) AS right FROM documents GROUP BY source".replace("AS right", 'AS "right"'))
+@query("SELECT source AS rule, arg_min(text, doc_id) FILTER (doc_id % 3 = 0) AS wrong, arg_min(text, doc_id) FILTER (doc_id % 3 <> 0) AS right FROM documents GROUP BY source".replace("AS right", 'AS "right"'))
 def rule_examples(spark, sf_dir):
-    tests = table(spark, sf_dir, "documents").select(F.col("source").alias("rule"), F.col("doc_id").alias("n"), F.substring("text", 1, 30).alias("target"), F.when(F.col("doc_id") % 3 == 0, "fail").otherwise("pass").alias("expect"))
+    tests = table(spark, sf_dir, "documents").select(F.col("source").alias("rule"), F.col("doc_id").alias("n"), F.col("text").alias("target"), F.when(F.col("doc_id") % 3 == 0, "fail").otherwise("pass").alias("expect"))
     return reporting.rule_examples(tests)
 
 
@@ -269,8 +269,8 @@ def host_allowed(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", reporting.host_allowed(host, ("tionsh.example.net", "m.tiontion.example.com")).alias("allowed"))
 
 
-@query("WITH a AS (SELECT lang AS target, substring(text, 1, 4) AS text, 0 AS n FROM documents UNION ALL SELECT 'en', ' ' || substring(text, 1, 4), 1 FROM conversations) SELECT target, arg_min(text, (n, text)) AS text FROM a GROUP BY target, lower(trim(text))")
+@query("WITH a AS (SELECT lang AS target, text, 0 AS n FROM documents UNION ALL SELECT 'en', ' ' || text, 1 FROM conversations) SELECT target, arg_min(text, (n, text)) AS text FROM a GROUP BY target, lower(trim(text))")
 def recommendations(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select(F.col("lang").alias("target"), F.substring("text", 1, 4).alias("text"))
-    b = table(spark, sf_dir, "conversations").select(F.lit("en").alias("target"), F.concat(F.lit(" "), F.substring("text", 1, 4)).alias("text"))
+    a = table(spark, sf_dir, "documents").select(F.col("lang").alias("target"), F.col("text"))
+    b = table(spark, sf_dir, "conversations").select(F.lit("en").alias("target"), F.concat(F.lit(" "), F.col("text")).alias("text"))
     return reporting.recommendations(a, b)

@@ -319,11 +319,11 @@ def batches(spark, sf_dir):
     return compare.batches(line_rows(spark, sf_dir).withColumn("s", F.length("text")), ["doc_id"], "ord", "s")
 
 
-@query("""WITH r AS (SELECT doc_id, lower(trim(substring(text, 1, 20))) AS k FROM documents) SELECT k, min(doc_id) AS doc_id FROM r GROUP BY k""")
+@query("""WITH r AS (SELECT doc_id, lower(trim(text)) AS k FROM documents) SELECT md5(k) AS k, min(doc_id) AS doc_id FROM r GROUP BY k""")
 def dedup_recs(spark, sf_dir):
     """Of recommendations with the same text the first: a minimum rather than a window."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim(F.substring("text", 1, 20))).alias("k"))
-    return rows.groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.trim("text")).alias("k"))
+    return rows.groupBy("k").agg(F.min("doc_id").alias("doc_id")).withColumn("k", F.md5("k"))
 
 
 @query("SELECT event_type AS reason, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, min(event_id) LIMIT 3")

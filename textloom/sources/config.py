@@ -21,7 +21,7 @@ def load_rules(text: str, locale: str, lexicons: dict[str, list[dict]] | None =
     for r in data.get("rules", ()):
         r = {k: v for k, v in r.items() if k not in ("tests", "message", "fix", "note")}
         terms = named[r.pop("lexicon_ref")] if "lexicon_ref" in r else r.pop("terms", ())
-        keep = all(t.get("preserve_case", True) for t in terms)
+        keep = tuple(t.get("preserve_case", True) for t in terms)
         fold = r.pop("flags", "i") != ""
         java = _java if fold else _exact
         known = {"id", "type", "severity", "when_source", "unless_source", "target_forbid", "target_require", "max_chars", "min_words", "applies_to", "meta_kinds", "autofix", "hypothesis"}
