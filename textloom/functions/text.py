@@ -101,6 +101,11 @@ def word_count(c: Column) -> Column:
     return F.when(p == "", 0).otherwise(F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def spaced_words(c: Column) -> Column:
+    """Words of a text that has no placeholders and one space between words, none at its ends, and isn't empty."""
+    return (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def char_length(c: Column) -> Column:
     return F.length(plain_text(c)).cast("long")
 

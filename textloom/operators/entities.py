@@ -127,7 +127,7 @@ def entities(text: Column, lang: Column, brands: tuple[str, ...] = ()) -> Column
 
 
 def entity_rows(docs: DataFrame, brands: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select("doc_id", F.explode(entities(F.col("text"), F.col("lang"), brands)).alias("e")).select("doc_id", "e.*")
+    return docs.select("doc_id", F.explode_outer(entities(F.col("text"), F.col("lang"), brands)).alias("e")).where("e IS NOT NULL").select("doc_id", "e.*")
 
 
 def resolve_overlaps(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -174,8 +174,8 @@ def evaluate(rule: Rule, s: dict[str, Column]) -> Column:
     raise ValueError(f"no evaluator for {rule.type}")
 
 
-def lint(segments: DataFrame, locale: str, rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """segments with a column findings: all of a locale's rules over each row, in one pass.
+def lint(segments: DataFrame, locale: str, rules: tuple[Rule, ...] | None = None, again: Column | None = None) -> DataFrame:
+    """segments with a column findings: all of a locale's rules over each row, in one pass; of rows linted before only those of which again holds.
 
     segments has source_text, target_text, source_lang, operation, block_type and may have meta_kind, back, back_lang.
     """
@@ -187,7 +187,8 @@ def lint(segments: DataFrame, locale: str, rules: tuple[Rule, ...] | None = None
         "target_lang": F.lit(locale[:2]), "translatable": F.col("translatable") if "translatable" in have else F.lit(True), "back": col("back"), "back_lang": col("back_lang"),
     }
     parts = [F.when(applies(r, F.col("block_type"), col("meta_kind"), F.col("operation")), evaluate(r, s)).otherwise(_none()) for r in rules or rules_for(locale)]
-    return rows.withColumn("findings", F.concat(*parts)).drop("__s", "__t", "__w")
+    found = F.concat(*parts) if again is None else F.when(again, F.concat(*parts)).otherwise(F.col("findings"))
+    return rows.withColumn("findings", found).drop("__s", "__t", "__w")
 
 
 def check_result(findings: Column, severity: str, hypothesis: bool) -> Column:

@@ -22,7 +22,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     line = lambda x: F.trim(T.collapse_space(x))
     chunks = F.transform(F.split(clean, "\n[ \t]*\n"), lambda c: F.filter(F.transform(F.split(c, "\n"), line), lambda x: x != ""))
     chunks = F.filter(chunks, lambda c: F.size(c) > 0)
-    rows = docs.select("doc_id", chunks.alias("chunks")).select("doc_id", F.size("chunks").cast("long").alias("n_blocks"), F.posexplode("chunks").alias("pos", "lines"))
+    rows = docs.select("doc_id", chunks.alias("chunks")).select("doc_id", F.size("chunks").cast("long").alias("n_blocks"), F.posexplode_outer("chunks").alias("pos", "lines")).where("pos IS NOT NULL")
     joined = F.array_join("lines", " ")
     heading = (F.col("pos") == 0) & (F.col("n_blocks") > 1) & (F.size("lines") == 1) & (F.length(joined) <= 80) & ~joined.rlike("[.!?:;,…]$")
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "n_blocks", F.when(heading, "heading").otherwise("paragraph").alias("block_type"), T.escape_literal(joined).alias("text"))
@@ -31,7 +31,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 def line_segments(docs: DataFrame) -> DataFrame:
     """One paragraph for each line that isn't blank, for corpora whose lines are paragraphs: (doc_id, ord, segment_id, block_type, text, hash)."""
     rows = docs.select("doc_id", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(T.collapse_space(x))), lambda x: x != "").alias("x"))
-    rows = rows.select("doc_id", F.posexplode("x").alias("pos", "text"))
+    rows = rows.select("doc_id", F.posexplode_outer("x").alias("pos", "text")).where("pos IS NOT NULL")
     return seal(rows.withColumn("block_type", F.lit("paragraph")))
 
 

@@ -24,7 +24,7 @@ def _found(pattern: str, name: str = "match") -> str:
 def _each(spark, sf_dir, pattern: str, need: str, name: str = "match"):
     text = F.col("text")
     hits = F.when(F.contains(text, F.lit(need)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias(name))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(hits).alias(name)).where(F.col(name).isNotNull())
 
 
 @query(_found(_EMAIL, "email"))
@@ -136,7 +136,7 @@ def _pairs(spark, sf_dir):
 @query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '"([^"\\n]{1,300})"')) AS found FROM documents) SELECT doc_id, found, '«' || substring(found, 2, length(found) - 2) || '»' AS replacement FROM x""".replace("\\\\", "\\"))
 def lex_quotes(spark, sf_dir):
     rule = rules.Rule("QUOTES", "lexicon", "major", ((r'"([^"\n]{1,300})"', "«$1»"),), keep_case=False)
-    rows = rules.lint(_pairs(spark, sf_dir), "de-CH", (rule,)).select("doc_id", F.explode("findings").alias("f"))
+    rows = rules.lint(_pairs(spark, sf_dir), "de-CH", (rule,)).select("doc_id", F.explode_outer("findings").alias("f")).where("f IS NOT NULL")
     return rows.select("doc_id", "f.found", "f.replacement")
 
 
@@ -220,7 +220,7 @@ def lint(spark, sf_dir):
     mine = (next(r for r in rules.RULES if r.id == "DECH-SZ-01"), rules.Rule("QUOTES", "lexicon", "major", ((r'"([^"\n]{1,300})"', "«$1»"),), keep_case=False), next(r for r in rules.RULES if r.type == "empty_output"))
     seg = _pairs(spark, sf_dir).withColumn("target_text", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("target_text")))
     counted = F.transform(F.array(*(F.lit(r.id) for r in mine)), lambda i: F.struct(i.alias("rule"), F.size(F.filter("findings", lambda f: f["rule"] == i)).cast("long").alias("n")))
-    rows = rules.lint(seg, "de-CH", mine).select("doc_id", F.explode(F.filter(counted, lambda c: c["n"] > 0)).alias("c"))
+    rows = rules.lint(seg, "de-CH", mine).select("doc_id", F.explode_outer(F.filter(counted, lambda c: c["n"] > 0)).alias("c")).where("c IS NOT NULL")
     return rows.select("doc_id", "c.rule", "c.n")
 
 

@@ -275,7 +275,7 @@ def glossary_hits(spark, sf_dir):
     known = F.array(*(F.lit(f) for fs in _TERMS.values() for f in fs))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(words, lambda w: F.array_contains(known, w)).alias("w"))
     counts = F.array(*(F.struct(F.lit(t).alias("term_id"), F.size(F.filter("w", _one_of(fs))).cast("long").alias("hits")) for t, fs in _TERMS.items()))
-    return rows.select("doc_id", F.explode(F.filter(counts, lambda c: c["hits"] > 0)).alias("c")).select("doc_id", "c.*")
+    return rows.select("doc_id", F.explode_outer(F.filter(counts, lambda c: c["hits"] > 0)).alias("c")).where("c IS NOT NULL").select("doc_id", "c.*")
 
 
 @query("SELECT p_name AS id, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")

@@ -26,10 +26,11 @@ def line_rows(spark, sf_dir):
     """Line segments with their document's language and word counts."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "lang", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(T.collapse_space(x))), lambda x: x != "").alias("x"))
-    rows = rows.select("doc_id", "lang", F.posexplode("x").alias("pos", "text"))
+    # The outer form: for the other Spark infers a filter on the array's size, and computes it twice.
+    rows = rows.select("doc_id", "lang", F.posexplode_outer("x").alias("pos", "text")).where("pos IS NOT NULL")
     n = (F.col("pos") + 1).cast("string")
     segment_id = F.concat(F.lit("p-"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))
-    return rows.select("doc_id", "lang", (F.col("pos") + 1).cast("long").alias("ord"), segment_id.alias("segment_id"), "text", T.word_count(F.col("text")).alias("words"))
+    return rows.select("doc_id", "lang", (F.col("pos") + 1).cast("long").alias("ord"), segment_id.alias("segment_id"), "text", T.spaced_words(F.col("text")).alias("words"))
 
 
 @query(_BLOCKS + " SELECT doc_id, pos, n_blocks, block_type, md5(text) AS digest FROM blocks")

@@ -133,7 +133,7 @@ x AS (SELECT doc_id, unnest(h) AS m, unnest(g[:len(h)]) AS gap, generate_subscri
 SELECT doc_id, (sum(length(gap) + length(m)) OVER w - length(m))::BIGINT AS start, (sum(length(gap) + length(m)) OVER w)::BIGINT AS "end", m AS match FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
 def match_spans(spark, sf_dir):
     """All numbers with their places: an array in each row, exploded, with no shuffle."""
-    return _docs(spark, sf_dir).select("doc_id", F.explode(T.match_spans(F.col("text"), "[0-9]+")).alias("s")).select("doc_id", "s.*")
+    return _docs(spark, sf_dir).select("doc_id", F.explode_outer(T.match_spans(F.col("text"), "[0-9]+")).alias("s")).where("s IS NOT NULL").select("doc_id", "s.*")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
