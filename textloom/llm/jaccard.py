@@ -99,7 +99,7 @@ def shingles(texts: list, k: int) -> list[np.ndarray]:
                 out.append(own[keep])
             elif z > a:
                 short = np.array([z - a], np.uint64)
-                for x in w[a:z]:
+                for x in w[a:z, None]:  # arrays of one, whose products wrap around without a warning
                     short = (short ^ (short >> np.uint64(29))) * _M[1] + x * _M[3]
                 out.append(_mix(short ^ _M[6]))
             else:
