@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from textloom.plans.queries import QUERIES
+from textloom.plans.queries import ORACLE_SQL, QUERIES
 
 NARROW = (
     "text_hash word_count char_length collapse_space plain_text tag_signature tag_diff slugify match_spans redact md_escape text_blocks text_segments segment_ids title_head source_slug classify_pages locale_tag source_locale "
@@ -45,3 +45,18 @@ def test_partial_aggregates_come_first(spark, sf):
 
 def test_top_k_is_kept_small_in_each_task(spark, sf):
     assert "TakeOrderedAndProject" in plan(spark, sf, "top_findings") and "TakeOrderedAndProject" in plan(spark, sf, "latest_orders")
+
+
+def test_merged_spans_of_odd_rows(spark, tmp_path):
+    """Fractions, nulls and equal spans as the query's SQL has them; on one thread, for its two sorts may order equal spans differently else."""
+    import duckdb
+    from oracle import compare
+
+    odd = [(1, 1, 2.5), (1, 1, 3.5), (1, 2, 14.6), (1, 2, None), (1, None, 3.0), (1, 3, 0.0), (1, 3, 0.0), (2, 7, 2.0), (2, 7, 2.0), (2, 1, 2.0), (None, 1, 44.5), (None, 1, 3.0), (3, 2, None), (3, 1, 7.5)]
+    df = spark.createDataFrame(odd, "l_orderkey long, l_linenumber int, l_quantity double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert compare(spark, con, QUERIES["merge_spans"], ORACLE_SQL["merge_spans"], str(tmp_path)) is None
+    p = QUERIES["merge_spans"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Window \[", p)) == 2 and len(re.findall(r"Sort \[", p)) == 1
