@@ -142,3 +142,24 @@ def test_template_within_article(spark):
     got = {r.page_id: r.text for r in html_main.extract(df).collect()}
     assert [got[i] for i in range(12)] == [f"Title {i}\nNote: text {i}\nSame on some {i % 2}" for i in range(12)]
     assert all(got[i].endswith("All rights reserved") for i in (12, 13, 14))  # too few pages to tell
+
+
+def test_all_pages_make_the_wrapper(spark, monkeypatch):
+    """What eight pages of a host share, those with the smallest hashes of page_id, is no template if the other pages have something else there; whatever is broadcast."""
+    from pyspark.sql import functions as F
+
+    few = {r.id for r in spark.range(60).orderBy(F.xxhash64("id")).limit(8).collect()}
+    page = lambda i: f"<body><div class='content'><p class='note'>{'Sold out today' if i in few else f'Note {i}'}</p><p>Text {i} is told here.</p></div><div class='legal'>All rights reserved</div></body>"
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(60)], "page_id long, url string, html string")
+    want = {i: f"{'Sold out today' if i in few else f'Note {i}'}\nText {i} is told here." for i in range(60)}
+    assert {r.page_id: r.text for r in html_main.extract(df).collect()} == want
+    monkeypatch.setattr(html_main, "HELD_BYTES", -1)
+    assert {r.page_id: r.text for r in html_main.extract(df).collect()} == want
+
+
+def test_alignment_counts_all_text():
+    """Each character of a page counts once, at the node of the reference that has it or stands above it."""
+    ref = html_main.Reference("<div><p>a</p><p>same</p></div>")
+    got = [(x >> 33, x >> 32 & 1, x & 0xFFFFFFFF) for x in html_main.align(ref, html_main.parse("<div><p>xyz</p><p>same</p><ul><li>four</li></ul></div>"))]
+    assert sorted(got) == [(0, 1, 0), (1, 1, 4), (2, 0, 3), (3, 1, 4)]
+    assert html_main.learn("<div><p>a</p></div>", [[0, 1, 1, 0]]) == {"root": None, "template": []}
