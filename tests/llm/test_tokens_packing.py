@@ -156,3 +156,25 @@ def test_packing_hot_length(spark):
     rows = packing.pack(items).collect()
     lengths = {r.doc_id: r.n_tokens for r in items.collect()}
     assert sum(lengths.values()) / check_bins(rows, packing.SIZES, lengths) > 0.99
+
+
+def test_words_with_signs_share_their_letters():
+    """Words that differ in the signs at their end are encoded once, with the library's ids; odd letters and quotes aren't cut."""
+    from textloom.llm.encoding import Encoder, tokenizer_path
+
+    e = Encoder(tokenizer_path())
+    learnt, plain = [], e.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            learnt.extend(x for t in texts for x in t.split())
+            return plain.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+    e.tokenizer = Counting()
+    text = "x Wörterbuch Wörterbuch, Wörterbuch!! (Wörterbuch) don't' naïve... A.B, a_ _a_, ªb, x\u0301, \u03d2a, 3, a3,\nWörterbuch,\nWörterbuch. x$$$ $$$"
+    assert np.frombuffer(e(text), e.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    # Once after a space, once after a newline, and in brackets, which stand before it.
+    assert sum("Wörterbuch" in x for x in learnt) == 3

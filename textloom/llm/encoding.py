@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from pathlib import Path
 
 import numpy as np
 
@@ -11,6 +13,9 @@ from .common import CACHES, only
 
 #: White space but for the space and the newline.
 _ODD = re.compile(r"[^\S \n]")
+#: Letters that are letters in every version of Unicode, then signs; the space or newline before them is in the key or not as in Encoder.words.
+_SIGNS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+_STEM = re.compile(rf"\n?[A-Za-zÀ-ÖØ-öø-ɏ]+[{re.escape(_SIGNS)}]+")
 _ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
@@ -25,7 +30,8 @@ class Encoder:
     The byte-level pre-tokenizer always cuts before a lone space and around a lone newline that stand between
     characters that aren't white space, so the ids of a text are those of its words in turn. Words are kept with their ids
     (up to max_words, some 240 MB, then the cache starts anew); a text with other white space or a special token's string, which the
-    library takes for that token, is encoded in one piece.
+    library takes for that token, is encoded in one piece. It also cuts between letters and the signs after them, so a new word that ends
+    in signs shares the ids of its letters with the word without them.
     """
 
     def __init__(self, path: str, max_words: int = 1_200_000):
@@ -33,12 +39,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.cuts = not kind.get("normalizer") and (kind.get("pre_tokenizer") or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.max_words = max_words
         # Words after a space as they are, after a newline with it, and a text's first with a carriage return, which no word there begins with.
         self.words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}  # at a word's end
         self.texts: dict[str, bytes] = {}  # of late, whole: copies are common
 
     def _ids(self, text: str) -> bytes:
@@ -52,6 +61,7 @@ class Encoder:
         """The ids of several texts; words met for the first time are encoded together."""
         if len(self.words) > self.max_words:
             self.words.clear()
+            self.signs.clear()
         if len(self.texts) > 4096:
             self.texts.clear()
         split, new, known, late, same = [], set(), self.words.get, [], self.texts.get
@@ -80,6 +90,12 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Encodes new words of a kind as one text with newlines between, which are ids of their own and part the result."""
+        whole = [w for w in new if not w[-1:].isalnum() and _STEM.fullmatch(w)] if self.cuts else []
+        stems = [w.rstrip(_SIGNS) for w in whole]
+        tails = [w[len(a) :] for w, a in zip(whole, stems, strict=True)]
+        if whole:
+            new = new.difference(whole).union(set(stems).difference(self.words))
+            self.signs.update((z, self._ids(z)) for z in set(tails).difference(self.signs))
         kinds: dict[str, list[str]] = {"\n": [], "\r": [], " ": []}
         for w in new:
             kinds[w[:1] if w[:1] in kinds else " "].append(w)
@@ -99,6 +115,7 @@ class Encoder:
                 ends = [*(cuts[1:] * n).tolist(), len(raw)]
                 begins = (cuts * n if kind == "\n" else (cuts + 1) * n).tolist()
                 self.words.update(zip(group, [raw[a:z] for a, z in zip(begins, ends, strict=True)], strict=True))
+        self.words.update(zip(whole, map(bytes.__add__, map(self.words.__getitem__, stems), map(self.signs.__getitem__, tails)), strict=True))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
