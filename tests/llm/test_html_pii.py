@@ -163,3 +163,39 @@ def test_alignment_counts_all_text():
     got = [(x >> 33, x >> 32 & 1, x & 0xFFFFFFFF) for x in html_main.align(ref, html_main.parse("<div><p>xyz</p><p>same</p><ul><li>four</li></ul></div>"))]
     assert sorted(got) == [(0, 1, 0), (1, 1, 4), (2, 0, 3), (3, 1, 4)]
     assert html_main.learn("<div><p>a</p></div>", [[0, 1, 1, 0]]) == {"root": None, "template": []}
+
+
+def test_all_children_are_aligned_at_any_depth(spark):
+    """Template behind hundreds of siblings, or below dozens of levels, which most of a host's pages have but not all, so that no count of blocks tells it."""
+    legal = lambda i: "<div class='legal'>All rights reserved</div>" if i % 5 else ""
+    story = lambda i, n: "".join(f"<p>Part {k} of {i}</p>" for k in range(n))
+    flat = lambda i: f"<body><div class='content'>{story(i, 90 + 7 * i)}{legal(i)}</div></body>"
+    deep = lambda i: f"<body>{'<div class=level>' * 120}{story(i, 3)}{legal(i)}{'</div>' * 120}</body>"
+    df = spark.createDataFrame([(k * 20 + i, f"http://{host}.example/{i}", page(i)) for k, (host, page) in enumerate((("flat", flat), ("deep", deep))) for i in range(20)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.extract(df).collect()}
+    assert got == {k * 20 + i: "\n".join(f"Part {p} of {i}" for p in range(3 if k else 90 + 7 * i)) for k in (0, 1) for i in range(20)}
+
+
+def most(a, b):
+    """Simple tree matching by its recurrence."""
+    if a.key != b.key:
+        return 0
+    x, y = ([n for n in t.items if not isinstance(n, str)] for t in (a, b))
+    M = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, n in enumerate(x):
+        for j, m in enumerate(y):
+            M[i + 1][j + 1] = max(M[i][j + 1], M[i + 1][j], M[i][j] + most(n, m))
+    return M[-1][-1] + 1
+
+
+def test_tree_matching_is_whole():
+    import random
+
+    r = random.Random(5)
+    tree = lambda d: r.choice(("<p>x</p>", "<b>x</b>")) if not d else f"<{(t := r.choice(('div', 'ul')))}>{''.join(tree(r.randint(0, d - 1)) for _ in range(r.choice((2, 5, 40))))}</{t}>"
+    for pages in ((tree(r.randint(1, 3)), tree(r.randint(1, 3))) for _ in range(40)):
+        a, b = map(html_main.parse, pages)
+        n, pairs = html_main.match(a, b)
+        assert n == len(pairs) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == most(a, b) and all(x.key == y.key for x, y in pairs)
+    for one, other, want in (("<p></p>" * 300, "<p></p>" * 400, 301), ("<p></p><b></b>" * 200 + "<i></i>", "<b></b>" * 150 + "<i></i>", 152), ("<div>" * 3000 + "<p>", "<div>" * 2500 + "<p>", 2501)):
+        assert html_main.match(html_main.parse(one), html_main.parse(other))[0] == want
