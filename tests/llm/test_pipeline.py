@@ -39,3 +39,27 @@ def test_stages_in_turn(spark, sf, docs):
 def test_run(spark, sf):
     df = corpus_pipeline.run(spark, sf)
     assert df.count() > 0 and {"doc_id", "bin_id", "bin_size", "bin_offset"} <= set(df.columns)
+
+
+def test_workers_hold_no_caches_when_a_pipeline_starts(spark, docs, sf, monkeypatch):
+    """The last stage of one run leaves encoders in Python workers; the first of the next reads on the JVM, beside which they must not stand."""
+    from textloom.llm import packing, toxic
+
+    def held():
+        def count(parts):
+            import time
+
+            from textloom.llm.common import CACHES
+
+            for part in parts:
+                time.sleep(0.2)
+                yield part.assign(id=sum(map(len, CACHES.values())))
+
+        return sum(r.id for r in spark.range(0, 16, 1, 16).mapInPandas(count, "id long").collect())
+
+    packing.token_counts(docs.repartition(8)).collect()
+    found = [held()]
+    monkeypatch.setattr(toxic, "sample", lambda *a, f=toxic.sample: found.append(held()) or f(*a))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert toxic.keep_clean(docs, labels).count() > 0
+    assert found[0] > 0 and found[1] == 0

@@ -127,9 +127,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 _encoders: dict[str, Encoder] = CACHES.setdefault("encoders", {})
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker and file."""
+def encoder(path: str, max_words: int = 1_200_000) -> Encoder:
+    """One encoder a worker and file, with room for so many words."""
     only("encoders")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].max_words = max_words
     return _encoders[path]

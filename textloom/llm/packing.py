@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, small_batches, text_or_empty
+from .common import only, save, small_batches, text_or_empty, trim
 from .encoding import encoder, tokenizer_path
 
 SIZES = (512, 1024, 2048, 4096, 8192)
+#: Words that a worker keeps with their ids, some 130 MB: executors' heaps are full of the stages before.
+WORDS = 600_000
 
 
 def default_cost(size: int) -> float:
@@ -144,6 +146,7 @@ def pack(items: DataFrame, sizes: tuple[int, ...] = SIZES, cost: Callable[[int],
     held = spark.sparkContext.broadcast(plan)
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only()
         p = held.value
         keys = p.length * (1 << 44) + p.low
         for part in parts:
@@ -172,9 +175,10 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or tokenizer_path()
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode = encoder(path, WORDS)
         for part in parts:
             yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) // encode.dtype.itemsize + 1 for x in encode.many(part["text"].tolist())], "tie": part["tie"]})
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
     return rows.withColumn("tie", F.xxhash64("text")).mapInPandas(count, "doc_id string, n_tokens long, tie long").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, save, small_batches, text_or_empty, trim
+from .common import only, release, save, small_batches, text_or_empty, trim
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 #: Bounds of the sample that the model is fitted on: labelled rows of each class, and characters of a text in it.
@@ -337,6 +337,7 @@ def set_thresholds(model: Model, counts: list) -> None:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    release(docs.sparkSession)
     model = fit(*sample(docs, labels))
     set_thresholds(model, histogram(model, docs, labels))
     return model
