@@ -178,3 +178,48 @@ def test_words_with_signs_share_their_letters():
     assert np.frombuffer(e(text), e.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
     # Once after a space, once after a newline, and in brackets, which stand before it.
     assert sum("Wörterbuch" in x for x in learnt) == 3
+
+
+def test_lengths_equal_library(plain):
+    """Packing keeps numbers of words, not their ids; caches that start anew change nothing."""
+    r, e = random.Random(5), encoding.Lengths(encoding.tokenizer_path(), max_words=50)
+    bits = ["a", "B", "é", " ", "\n", "\t", "1", "'s", "  ", "!", "😀", "\r\n", "\x1f", "don't", " ", "​", "\x85", "<|endoftext|>"]
+    for _ in range(600):
+        texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(5)]
+        assert e.many(texts) == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts], texts
+    assert e.many([None, "", "a b a"]) == [0, 0, 3] and all(isinstance(n, int) for n in e.words.values())
+
+
+def test_packing_keeps_no_ids(spark, docs):
+    """A packing worker's encoder holds numbers alone."""
+
+    def kinds(parts):
+        from textloom.llm.encoding import _encoders
+
+        for part in parts:
+            yield part.assign(id=sum(not isinstance(x, int) for e in _encoders.values() for x in [*e.words.values(), *e.texts.values()]) + 10**9 * (not _encoders))
+
+    packing.token_counts(docs.repartition(8)).collect()
+    found = [r.id for r in spark.range(0, 16, 1, 16).mapInPandas(kinds, "id long").collect()]
+    assert 0 in found and all(n in (0, 10**9) for n in found)
+
+
+def test_new_words_are_parted_by_their_spaces():
+    """No newlines are encoded between words that a space begins."""
+    e = encoding.Encoder(encoding.tokenizer_path())
+    learnt, plain = [], e.tokenizer
+
+    class Noting:
+        def encode_batch_fast(self, texts, **more):
+            learnt.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+    e.tokenizer = Noting()
+    text = "x Straße 's 12 --  y Ġz é😀  w 'll\nlast"
+    assert np.frombuffer(e(text), e.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    text = "x Straße 's 12 -- Ġz é😀 'll"
+    assert np.frombuffer(e(text), e.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert learnt and not any("\n" in t for t in learnt)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import operator
 import os
 import re
 from pathlib import Path
@@ -44,6 +45,9 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # Ids that begin with a space, as a word's first after a space does and no other of it: where words begin among ids of many.
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")] if self.cuts else []] = True
         self.max_words = max_words
         # Words after a space as they are, after a newline with it, and a text's first with a carriage return, which no word there begins with.
         self.words: dict[str, bytes] = {}
@@ -53,23 +57,24 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _parts(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """What is kept of words whose ids stand from begins to ends."""
+        raw, n = ids.tobytes(), self.dtype.itemsize
+        return [raw[a:z] for a, z in zip((begins * n).tolist(), (ends * n).tolist(), strict=True)]
+
     def __call__(self, text: str | None) -> bytes:
         """The ids as packed little-endian numbers of self.dtype."""
         return self.many([text])[0]
 
     def many(self, texts: list) -> list[bytes]:
         """The ids of several texts; words met for the first time are encoded together."""
-        if len(self.words) > self.max_words:
-            self.words.clear()
-            self.signs.clear()
-        if len(self.texts) > 4096:
-            self.texts.clear()
+        self._room()
         split, new, known, late, same = [], set(), self.words.get, [], self.texts.get
         for text in texts:
             if (ids := same(text)) is not None:
                 split.append(ids)
                 continue
-            if not text or _unsafe(text) or self.special and self.special.search(text):
+            if not text or self._whole(text):
                 split.append(text and self._ids(text) or b"")
                 continue
             words = f"\r{text}".replace("\n", " \n").split(" ")
@@ -85,9 +90,24 @@ class Encoder:
             for i in gaps:
                 ids[i] = self.words[words[i]]
         out = [x if isinstance(x, bytes) else b"".join(x) for x in split]
-        self.texts.update((t, x) for t, x in zip(texts, out, strict=True) if t and len(t) < 10_000)
+        self._note(texts, out)
         return out
 
+    def _room(self) -> None:
+        """Before texts are encoded: full caches start anew."""
+        if len(self.words) > self.max_words:
+            self.words.clear()
+            self.signs.clear()
+        if len(self.texts) > 4096:
+            self.texts.clear()
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text has to be encoded in one piece."""
+        return _unsafe(text) or bool(self.special and self.special.search(text))
+
+    def _note(self, texts: list, out: list) -> None:
+        self.texts.update((t, x) for t, x in zip(texts, out, strict=True) if t and len(t) < 10_000)
+
     def _learn(self, new: set[str]) -> None:
         """Encodes new words of a kind as one text with newlines between, which are ids of their own and part the result."""
         whole = [w for w in new if not w[-1:].isalnum() and _STEM.fullmatch(w)] if self.cuts else []
@@ -105,17 +125,63 @@ class Encoder:
         for kind, own in ((k, kinds[k]) for k in ("\n", " ")):
             for i in range(0, len(own), 20_000):
                 group = own[i : i + 20_000]
-                text = "".join(group) if kind == "\n" else "\n " + "\n ".join(group)
+                bare = kind == " " and self.cuts  # spaces part the result already
+                text = "".join(group) if kind == "\n" else " " + " ".join(group) if bare else "\n " + "\n ".join(group)
                 ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-                cuts = np.flatnonzero(ids == mark[0])
-                if len(mark) != 1 or len(cuts) != len(group):  # another vocabulary: word by word
+                cuts = np.flatnonzero(self.spaced[ids] if bare else ids == mark[0])
+                if not bare and len(mark) != 1 or len(cuts) != len(group):  # another vocabulary: word by word
                     self.words.update((w, self._ids(w if kind == "\n" else f" {w}")) for w in group)
                     continue
-                raw, n = ids.tobytes(), self.dtype.itemsize
-                ends = [*(cuts[1:] * n).tolist(), len(raw)]
-                begins = (cuts * n if kind == "\n" else (cuts + 1) * n).tolist()
-                self.words.update(zip(group, [raw[a:z] for a, z in zip(begins, ends, strict=True)], strict=True))
-        self.words.update(zip(whole, map(bytes.__add__, map(self.words.__getitem__, stems), map(self.signs.__getitem__, tails)), strict=True))
+                self.words.update(zip(group, self._parts(ids, cuts + (kind == " " and not bare), np.append(cuts[1:], len(ids))), strict=True))
+        self.words.update(zip(whole, map(operator.add, map(self.words.__getitem__, stems), map(self.signs.__getitem__, tails)), strict=True))
+
+
+class _Known(dict):
+    """Numbers by word; a word that isn't known is noted and counts as 0."""
+
+    def __init__(self):
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.missed.append(word)
+        return 0
+
+
+class Lengths(Encoder):
+    """Numbers of a text's ids alone: a word is kept with a small number, and no ids are put together."""
+
+    def __init__(self, path: str, max_words: int = 1_200_000):
+        super().__init__(path, max_words)
+        self.words: dict[str, int] = _Known()
+        self.signs: dict[str, int] = {}
+        self.texts: dict[str, int] = {}
+
+    def _ids(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _parts(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[int]:
+        return (ends - begins).tolist()
+
+    def many(self, texts: list) -> list[int]:
+        """The numbers of ids of several texts; words met for the first time are encoded together."""
+        self._room()
+        out, late, same, known = [], [], self.texts.get, self.words.__getitem__
+        for text in texts:
+            if (n := same(text)) is None:
+                if not text or self._whole(text):
+                    n = self._ids(text) if text else 0
+                else:
+                    n = sum(map(known, f"\r{text}".replace("\n", " \n").split(" ")))
+                    if self.words.missed:
+                        late.append((len(out), self.words.missed))
+                        self.words.missed = []
+            out.append(n)
+        if late:
+            self._learn(set().union(*(words for _, words in late)))
+        for i, words in late:
+            out[i] += sum(map(known, words))
+        self._note(texts, out)
+        return out
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -124,13 +190,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_encoders: dict[str, Encoder] = CACHES.setdefault("encoders", {})
+_encoders: dict[tuple[str, type], Encoder] = CACHES.setdefault("encoders", {})
 
 
-def encoder(path: str, max_words: int = 1_200_000) -> Encoder:
-    """One encoder a worker and file, with room for so many words."""
+def encoder(path: str, max_words: int = 1_200_000, kind: type[Encoder] = Encoder) -> Encoder:
+    """One encoder a worker, file and kind, with room for so many words."""
     only("encoders")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    _encoders[path].max_words = max_words
-    return _encoders[path]
+    key = path, kind
+    if key not in _encoders:
+        _encoders[key] = kind(path)
+    _encoders[key].max_words = max_words
+    return _encoders[key]
