@@ -63,3 +63,27 @@ def test_workers_hold_no_caches_when_a_pipeline_starts(spark, docs, sf, monkeypa
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     assert toxic.keep_clean(docs, labels).count() > 0
     assert found[0] > 0 and found[1] == 0
+
+
+def test_saving_relieves_the_driver(spark, monkeypatch):
+    """After a table is saved, a driver's heap that has grown past half its limit is collected; a smaller one isn't."""
+    from types import SimpleNamespace
+
+    from textloom.llm import common
+
+    asked, seen = [], []
+    for total in (49, 51):
+        heap = SimpleNamespace(totalMemory=lambda total=total: total, maxMemory=lambda: 100)
+        lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda heap=heap: heap), System=SimpleNamespace(gc=lambda total=total: asked.append(total)))
+        common.relieve(SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang))))
+    assert asked == [51]
+    common.relieve(spark)  # by the names that the JVM has
+    monkeypatch.setattr(common, "relieve", seen.append)
+    assert common.save(spark.range(3), "relieved").count() == 3 and seen == [spark]
+
+
+def test_fitting_leaves_no_memory_with_the_driver(spark, docs, sf, monkeypatch):
+    trimmed = []
+    monkeypatch.setattr(toxic, "trim", lambda: trimmed.append(1))
+    toxic.trained(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert trimmed == [1]

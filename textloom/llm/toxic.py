@@ -339,6 +339,7 @@ def set_thresholds(model: Model, counts: list) -> None:
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     release(docs.sparkSession)
     model = fit(*sample(docs, labels))
+    trim()  # what fitting took stays with the driver else
     set_thresholds(model, histogram(model, docs, labels))
     return model
 
