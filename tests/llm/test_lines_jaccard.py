@@ -78,6 +78,29 @@ def test_lines_at_a_fifth(frame, monkeypatch, letters, hot, few):
     assert got == brute_lines(rows, fifth_near) and len(got) > 50
 
 
+def test_lines_of_a_large_group_make_few_pairs(frame, monkeypatch):
+    """Near copies of one line, many of them not near the earliest: each meets the next ones only until one answers."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for at in r.sample(range(40), 5):
+            w[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    made, save = {}, lines.save
+
+    def counted(df, name):
+        out = save(df, name)
+        made[name] = made.get(name, 0) + out.count() * name.endswith("pairs")
+        return out
+
+    monkeypatch.setattr(lines, "save", counted)
+    got = {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in lines.duplicate_lines(frame(rows), lines.a_fifth).collect()}
+    assert got == brute_lines(rows, fifth_near) and len(got) > 100
+    assert sum(made.values()) < 12 * len(rows)
+
+
 def test_lines_kept_documents(frame):
     rows = [(1, "keep this line\nand this other line of words"), (2, "keep this line"), (3, "new text\nkeep this line\n\nmore"), (4, None), (5, ""), (6, "and this other row of words")]
     df = frame(rows)
