@@ -101,6 +101,24 @@ def test_lines_of_a_large_group_make_few_pairs(frame, monkeypatch):
     assert sum(made.values()) < 12 * len(rows)
 
 
+def test_lines_that_share_keys_by_chance_stay_narrow(frame, monkeypatch):
+    """Groups of a few dozen lines make no ranks, and words are only fetched of lines that sketches let pass."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"p{k} q{k}" for k in r.sample(range(40), 15))) for i in range(28)]
+    rows += [(i + 100, text.replace(" q", " x", 1)) for i, text in rows[:3]]
+    made, save = {}, lines.save
+
+    def counted(df, name):
+        out = save(df, name)
+        made.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(lines, "save", counted)
+    got = {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in lines.duplicate_lines(frame(rows), lines.a_fifth).collect()}
+    assert got == brute_lines(rows, fifth_near) and len(got) == 3
+    assert made["lines-few"] > 100 and made["lines-ranked"] == 0 and made["lines-words"] < 20
+
+
 def test_lines_kept_documents(frame):
     rows = [(1, "keep this line\nand this other line of words"), (2, "keep this line"), (3, "new text\nkeep this line\n\nmore"), (4, None), (5, ""), (6, "and this other row of words")]
     df = frame(rows)
